@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.copies import copy_sets
+from palisade.llm.lookalike import same_looks
 from palisade.sources.tables import table
 
 
@@ -26,5 +27,22 @@ def p1_contents(spark: SparkSession, d: str) -> DataFrame:
     return contents.withColumnRenamed("space", "record_table")
 
 
-QUERIES = {"p1_found": p1_found, "p1_contents": p1_contents}
+def _bodies_and_samples(spark: SparkSession, d: str) -> DataFrame:
+    bodies = table(spark, d, "requests").select(F.lit("requests").alias("record_table"), F.col("request_id").alias("id"), F.col("body").alias("text"))
+    return bodies.unionByName(table(spark, d, "train").select(F.lit("train").alias("record_table"), F.col("sample_id").alias("id"), "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of request bodies and of training texts that differ but look the same."""
+    _, pairs = same_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")
+    return pairs.withColumnRenamed("space", "record_table")
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every request body and training text."""
+    forms, _ = same_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")
+    return forms.withColumnRenamed("space", "record_table")
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p1_found": p1_found, "p1_contents": p1_contents}
 ORACLE: dict[str, str] = {}
