@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.copies import copy_sets
 from palisade.llm.lookalike import same_looks
+from palisade.llm.sentences import sentences
 from palisade.sources.tables import table
 
 
@@ -44,5 +45,10 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.withColumnRenamed("space", "record_table")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p1_found": p1_found, "p1_contents": p1_contents}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every document by its place."""
+    return sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p8_found": p8_found, "p4_found": p4_found, "p4_forms": p4_forms, "p1_found": p1_found, "p1_contents": p1_contents}
 ORACLE: dict[str, str] = {}
