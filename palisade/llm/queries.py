@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.copies import copy_sets
 from palisade.llm.lookalike import same_looks
+from palisade.llm.pii import personal_data, redacted
 from palisade.llm.sentences import sentences
 from palisade.sources.tables import table
 
@@ -33,6 +34,18 @@ def _bodies_and_samples(spark: SparkSession, d: str) -> DataFrame:
     return bodies.unionByName(table(spark, d, "train").select(F.lit("train").alias("record_table"), F.col("sample_id").alias("id"), "text"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of personal data in request bodies and training texts by its place."""
+    found = personal_data(_bodies_and_samples(spark, d), "record_table", "id", "text")
+    return found.withColumnsRenamed({"space": "record_table", "id": "record_id"})
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Request bodies and training texts with personal data replaced by typed placeholders."""
+    clean = redacted(_bodies_and_samples(spark, d), "record_table", "id", "text")
+    return clean.withColumnsRenamed({"space": "record_table", "id": "record_id"})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of request bodies and of training texts that differ but look the same."""
     _, pairs = same_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")
@@ -50,5 +63,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_found": p8_found, "p4_found": p4_found, "p4_forms": p4_forms, "p1_found": p1_found, "p1_contents": p1_contents}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p8_found": p8_found, "p4_found": p4_found, "p4_forms": p4_forms, "p1_found": p1_found, "p1_contents": p1_contents}
 ORACLE: dict[str, str] = {}

@@ -108,7 +108,7 @@ def marked(text: Column) -> Column:
     m = sub(m, f"({QUOTED}\\s?[”»」』“\"'’])(?=\\s+[\\p{{Lu}}¿¡])", f"$1{CUT}")
     m = sub(m, f"((?:^|{CUT}|(?!^)\\G)\\s*[(（\\[][^()（）\\[\\]{CUT}]*{BRACKETED}[)）\\]])", f"$1{CUT}")
     # Thai: a blank or line break between two Thai words outside quotes
-    m = sub(m, "(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e])(?=\\s+[\\u0e01-\\u0e5b])(?![^“”(]{0,600}[”)])", CUT)
+    m = sub(m, "(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e])(?=\\s+[\\u0e01-\\u0e5b])(?![^“”]{0,600}”)(?![^()\\n]{0,200}\\))", CUT)
     return m
 
 
