@@ -250,6 +250,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 _SOME_DIGITS = re.compile(r"\d[\d\W]*\d|\d [A-Za-z]")
 _FOR = next(p for p in _NAMES if "for\\s+" in p.pattern)
 
+# Not to be moved below the grouping of equal texts by the optimizer: marked as not deterministic where it is used.
 SPAN = T.ArrayType(T.StructType([T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType()), T.StructField("pii_type", T.StringType())]))
 
 
@@ -264,7 +265,7 @@ def text_spans(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFram
     spans for every distinct text with at least one piece."""
     rows = df.select(F.col(space).alias("space"), F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     members = rows.select("space", "id", F.unhex(F.sha2("text", 256)).alias("raw")).dropDuplicates(["space", "id"])
-    found = rows.select("text").distinct().withColumn("spans", _found("text")).where(F.size("spans") > 0)
+    found = rows.select("text").distinct().withColumn("spans", _found.asNondeterministic()("text")).where(F.size("spans") > 0)
     return members, found.select(F.unhex(F.sha2("text", 256)).alias("raw"), "text", "spans")
 
 

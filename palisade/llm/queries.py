@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from palisade.llm.copies import copy_sets
 from palisade.llm.lookalike import same_looks
+from palisade.llm.mixing import mixture, shares
+from palisade.llm.packing import packed, unused
 from palisade.llm.pii import personal_data, redacted
 from palisade.llm.sentences import sentences
+from palisade.llm.tokens import n_tokens
+from palisade.session import written
 from palisade.sources.tables import table
 
 
@@ -58,10 +62,37 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.withColumnRenamed("space", "record_table")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, size in tokens; written once, as several passes read it."""
+    docs = table(spark, d, "documents")
+    return written(docs.select("doc_id", "text", "source", n_tokens(F.col("text")).alias("size")), "tokens")
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every piece of it, for each of the container sizes."""
+    return packed(_sized(spark, d).select("doc_id", "size"), table(spark, d, "pack_sizes"))
+
+
+def p6_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused space for each of the container sizes."""
+    return unused(p6_packed(spark, d))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used in the training mixture."""
+    return mixture(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual against target share of the tokens for each source."""
+    return shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence of every document by its place."""
     return sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p8_found": p8_found, "p4_found": p4_found, "p4_forms": p4_forms, "p1_found": p1_found, "p1_contents": p1_contents}
+QUERIES = {f.__name__: f for f in (p1_found, p1_contents, p3_found, p3_redacted, p4_found, p4_forms, p6_packed, p6_unused, p7_mixture, p7_shares, p8_found)}
+#: JSON, tokenizers, scripts and numeric fitting are beyond SQL: these are tested against brute force instead.
 ORACLE: dict[str, str] = {}
