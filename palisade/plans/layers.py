@@ -98,8 +98,8 @@ QUERIES = {f.__name__: f for f in _PARTS}
 
 TRAP = "(lower(path) IN (" + ", ".join(map(quoted, E.EXACT_TRAPS)) + ") OR " + " OR ".join([f"starts_with(lower(path), {quoted(p)})" for p in E.PREFIX_TRAPS] + [f"ends_with(lower(path), {quoted(s)})" for s in E.SUFFIX_TRAPS]) + ")"
 _RATE = """f AS (SELECT request_id, client_ip, ts_us, ts_us - min(ts_us) OVER (PARTITION BY client_ip) AS el FROM r),
-    k AS (SELECT *, el // 60000000 AS k, el % 60000000 AS i FROM f), n AS (SELECT client_ip, k, count(*) AS n FROM k GROUP BY ALL),
-    rate AS (SELECT k.request_id, row_number() OVER (PARTITION BY k.client_ip, k.k ORDER BY ts_us, request_id) + coalesce(n.n, 0) * (1.0::DOUBLE - (i // 1000)::DOUBLE / 60000::DOUBLE) AS total, i FROM k LEFT JOIN n ON n.client_ip = k.client_ip AND n.k = k.k - 1)"""
+    k AS (SELECT *, el // 60000000 AS k, el % 60000000 AS i FROM f), kn AS (SELECT client_ip, k, count(*) AS n FROM k GROUP BY ALL),
+    rate AS (SELECT k.request_id, row_number() OVER (PARTITION BY k.client_ip, k.k ORDER BY ts_us, request_id) + coalesce(kn.n, 0) * (1.0::DOUBLE - (i // 1000)::DOUBLE / 60000::DOUBLE) AS total, i FROM k LEFT JOIN kn ON kn.client_ip = k.client_ip AND kn.k = k.k - 1)"""
 _FLOOD = """fl AS (SELECT request_id, client_ip, count(*) OVER (PARTITION BY client_ip ORDER BY ts_us RANGE BETWEEN 999999 PRECEDING AND CURRENT ROW) AS last_1s, count(*) OVER (PARTITION BY client_ip ORDER BY ts_us RANGE BETWEEN 9999999 PRECEDING AND CURRENT ROW) AS last_10s,
       count(DISTINCT path) OVER (PARTITION BY client_ip ORDER BY ts_us, request_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS paths_100 FROM r),
     flood AS (SELECT *, CASE WHEN last_1s > 50 THEN 'volumetric' WHEN last_10s > 30 AND paths_100 < 3 THEN 'application_layer' END AS flood FROM fl)"""
