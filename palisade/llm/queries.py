@@ -12,7 +12,7 @@ from palisade.llm.packing import packed, unused
 from palisade.llm.pii import personal_data, redacted
 from palisade.llm.sentences import sentences
 from palisade.llm.tokens import n_tokens
-from palisade.session import written
+from palisade.session import spread, written
 from palisade.sources.tables import table
 
 
@@ -64,7 +64,7 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, size in tokens; written once, as several passes read it."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     return written(docs.select("doc_id", "text", "source", n_tokens(F.col("text")).alias("size")), "tokens")
 
 

@@ -8,9 +8,13 @@ their script. A sentence's text is the slice of the source between its positions
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.session import spread
+
 #: Placeholders: a mark that ends nothing, one within a quote, one within brackets; a boundary between sentences.
 MASK, QUOTED, BRACKETED, CUT = "", "", "", ""
 _ENDS = ".!?…。！？｡؟।॥۔։።"
@@ -52,7 +56,12 @@ def _words(table: dict[str, str]) -> str:
 def _heads() -> str:
     """Alternation of the parts of abbreviations of several, before the part that follows."""
     parts = sorted({(a, b) for row in (*NEVER.values(), *MAYBE.values()) for w in row.split() for a, b in zip(w.split("."), w.split(".")[1:])})
-    return "|".join(f"{a}(?=\\.\\s?{b}\\.)" for a, b in parts)
+    return "|".join(f"(?<=(?<![\\p{{L}}\\p{{M}}]){a}\\.)(?=\\s?{b}\\.)" for a, b in parts)
+
+
+def _where(c: Column, mark: str, step: Callable[[Column], Column]) -> Column:
+    """step where mark occurs at all; c is evaluated once."""
+    return F.element_at(F.transform(F.array(c), lambda x: F.when(x.contains(mark), step(x)).otherwise(x)), 1)
 
 
 def _inside(c: Column, start: str, stop: str, marks: str, to: str, opener: str | None = None) -> Column:
@@ -80,10 +89,10 @@ def marked(text: Column) -> Column:
     m = sub(m, f"(?<![\\p{{L}}\\p{{M}}\\d.{MASK}])(\\p{{Lu}})\\.(?=[ \\u00a0\\n]?\\p{{Lu}})", f"$1{MASK}")
     m = sub(m, f"(?<=[.{MASK}])(\\p{{Lu}})\\.(?=\\p{{L}}|\\s+[\\p{{Ll}}\\d])", f"$1{MASK}")
     # abbreviations
-    m = sub(m, f"(?iu)(?<![\\p{{L}}\\p{{M}}])({_heads()})\\.", f"$1{MASK}")
-    m = sub(m, f"(?iu)(?<![\\p{{L}}\\p{{M}}])({_words(NEVER)})\\.(?=[\\s\\p{{L}}\\d])", f"$1{MASK}")
+    m = sub(m, f"(?iu)\\.(?:{_heads()})", MASK)
+    m = sub(m, f"(?iu)\\.(?<=(?<![\\p{{L}}\\p{{M}}])(?:{_words(NEVER)})\\.)(?=[\\s\\p{{L}}\\d])", MASK)
     m = sub(m, "(?iu)(?<![\\p{IsLatin}\\p{IsCyrillic}\\p{M}])(no|nos|art|p|s)\\.(?=\\s*\\d)", f"$1{MASK}")
-    m = sub(m, f"(?u)(?<![\\p{{L}}\\p{{M}}])((?i:{_words(MAYBE)}))\\.(?=\\s+[^\\p{{Lu}}\\s¿¡{CUT}]|\\s*[,;:)])(?!\\s+(?:{_OPENERS})\\b)", f"$1{MASK}")
+    m = sub(m, f"(?u)\\.(?<=(?<![\\p{{L}}\\p{{M}}])(?i:{_words(MAYBE)})\\.)(?=\\s+[^\\p{{Lu}}\\s¿¡{CUT}]|\\s*[,;:)])(?!\\s+(?:{_OPENERS})\\b)", MASK)
     m = sub(m, f"(?<![\\p{{L}}\\d.,{MASK}])(\\d{{1,2}})\\.(?=\\s+(?:{_MONTHS})\\b)", f"$1{MASK}")
     # dots that trail off within a sentence
     m = sub(m, "……", MASK * 2)
@@ -92,11 +101,11 @@ def marked(text: Column) -> Column:
     m = sub(m, f"…(?=\\s+[^\\p{{Lu}}\\s¿¡«“\"(#{CUT}])", MASK)
     # quotes and brackets
     for a, b in _QUOTES:
-        m = _inside(m, a, b, _ENDS, QUOTED)
-    m = _inside(m, '"', '"', _ENDS, QUOTED, '(?<=^|[\\s(\\[{])"(?=\\S)')
-    m = _inside(m, "'", "'", _ENDS, QUOTED, "(?<=^|[\\s(\\[{])'(?=\\S)")
+        m = _where(m, a, lambda x, a=a, b=b: _inside(x, a, b, _ENDS, QUOTED))
+    m = _where(m, '"', lambda x: _inside(x, '"', '"', _ENDS, QUOTED, '(?<=^|[\\s(\\[{])"(?=\\S)'))
+    m = _where(m, "'", lambda x: _inside(x, "'", "'", _ENDS, QUOTED, "(?<=^|[\\s(\\[{])'(?=\\S)"))
     for a, b in _BRACKETS:
-        m = _inside(m, f"\\{a}", f"\\{b}", _ENDS + QUOTED, BRACKETED)
+        m = _where(m, a, lambda x, a=a, b=b: _inside(x, f"\\{a}", f"\\{b}", _ENDS + QUOTED, BRACKETED))
     # boundaries
     closers = "[\"'”’»」』）)\\]]"
     m = sub(m, f"([。！？｡።]+{closers}*)", f"$1{CUT}")
@@ -124,7 +133,7 @@ def sentences(df: DataFrame, key: str, text: str, keep_text: bool = False) -> Da
     key that occurs twice gives its sentences twice. Other columns play no part, whatever their names.
     """
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    pieces = rows.select("doc_id", "text", F.split(marked(F.col("text")), CUT, -1).alias("p"))
+    pieces = spread(rows).select("doc_id", "text", F.split(marked(F.col("text")), CUT, -1).alias("p"))
     # places of blocks of pieces, then of pieces within a block
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(p) - 1) div {BLOCK}")), lambda i: F.slice("p", i * BLOCK + 1, BLOCK))
     pieces = pieces.select("doc_id", "text", blocks.alias("blocks"))
