@@ -90,7 +90,7 @@ def _digest(c: Column) -> Column:
 
 def copy_sets(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(contents, members): contents has space, keep_id and n_copies, one row for each distinct content within a space;
-    members has space, keep_id and copy_id, one row for each id of a content, keep_id itself included.
+    members has space, keep_id and copy_id, one row for each id of a content that more than one row has, keep_id itself included.
 
     space: names the table a record is of; records of two spaces are never copies. Rows with one (space, key) are one
     record. A null text or key is no record; an empty text, or one of whitespace and punctuation alone, is a content
@@ -98,10 +98,13 @@ def copy_sets(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFrame
     """
     rows = df.select(F.col(space).alias("space"), F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
     members = rows.select("space", "id", _digest(F.col("text")).alias("raw")).dropDuplicates(["space", "id"])
-    survivors = rows.groupBy("space", "text").agg(F.min("id").alias("first_id"))
-    forms = written(survivors.select("space", _digest(F.col("text")).alias("raw"), "first_id", canonical(F.col("text")).alias("form")), "copies")
-    contents = forms.groupBy("space", "form").agg(F.min("first_id").alias("keep_id"))
-    of_raw = forms.select("space", "raw", _digest(F.col("form")).alias("content")).join(contents.select("space", _digest(F.col("form")).alias("content"), "keep_id"), ["space", "content"]).select("space", "raw", "keep_id")
+    survivors = rows.groupBy("space", "text").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
+    forms = written(survivors.select("space", _digest(F.col("text")).alias("raw"), "first_id", "n_rows", canonical(F.col("text")).alias("form")), "copies")
+    contents = forms.groupBy("space", "form").agg(F.min("first_id").alias("keep_id"), F.sum("n_rows").alias("n_rows"))
+    # a content with one row is its own only member: it needs no join
+    several = contents.where("n_rows > 1").select("space", _digest(F.col("form")).alias("content"), "keep_id")
+    of_raw = forms.select("space", "raw", _digest(F.col("form")).alias("content")).join(several, ["space", "content"]).select("space", "raw", "keep_id")
     found = members.join(of_raw, ["space", "raw"]).select("space", "keep_id", F.col("id").alias("copy_id"))
-    counts = members.groupBy("space", "raw").agg(F.count("*").alias("n")).join(of_raw, ["space", "raw"]).groupBy("space", "keep_id").agg(F.sum("n").alias("n_copies"))
+    single = contents.where("n_rows = 1").select("space", "keep_id", F.lit(1).cast("bigint").alias("n_copies"))
+    counts = found.groupBy("space", "keep_id").agg(F.count("*").alias("n_copies")).unionByName(single)
     return counts, found
