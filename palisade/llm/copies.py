@@ -76,7 +76,8 @@ def _json_forms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def canonical(text: Column) -> Column:
     """Canonical form of a column of texts; only what looks like JSON leaves the JVM."""
-    tight = F.regexp_replace(F.lower(F.upper(text)), _SPACE, "")
+    # upper, then lower: full folding, with sharp s as ss. Side by side, the optimizer would leave out the first
+    tight = F.lower(F.regexp_replace(F.upper(text), _SPACE, ""))
     bare = lambda c: F.regexp_replace(c, "\\p{P}+", "")
     # a list or object is also recognised if it doesn't end well: then the parser says no and the text is taken as it is
     parsed = _json_forms(F.when(tight.rlike("^(\\{.*\\}|\\[.*\\])$"), text))
