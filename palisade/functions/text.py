@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import patterns as P
@@ -105,19 +105,19 @@ def normalized(c: Column) -> Column:
     return F.translate(c, P.HOMOGLYPHS[0] + P.chars(P.INVISIBLE + P.BIDI), P.HOMOGLYPHS[1])
 
 
-def neural(c: Column) -> tuple[Column, Column]:
-    """(flags, score) of the text layer."""
-    attacks, found, kind = encoding_attacks(c), families(c), injection_type(c)
-    categories = toxic_categories(c)
-    toxic = toxicity(categories)
+def with_neural(df: DataFrame, content: str, flags: str = "flags", score: str = "neural_score") -> DataFrame:
+    """Adds flags and score of the text layer. Each detector runs once, as a column of its own that flags and score are made of."""
+    c = F.col(content)
+    found = df.withColumns({"_attacks": encoding_attacks(c), "_families": families(c), "_kind": injection_type(c), "_toxic": toxic_categories(c), "_unsafe": unsafe_output(c).isNotNull()})
+    attacks, suspicious, kind, unsafe = F.col("_attacks"), F.col("_families"), F.col("_kind"), F.col("_unsafe")
+    toxic = toxicity(F.col("_toxic"))
     is_toxic = toxic >= P.TOXIC_FROM
-    unsafe = unsafe_output(c).isNotNull()
     named = F.when(kind == "direct", "DirectInjection").when(kind == "indirect", "IndirectInjection").when(kind == "recursive", "RecursiveInjection")
-    flags = F.concat(attacks, found, F.array_compact(F.array(named, F.when(is_toxic, F.lit("ToxicContent")), F.when(unsafe, F.lit("MaliciousLLMOutput")))))
-    risk = weighed(attacks, P.ENCODING_RISK) + weighed(found, P.FAMILY_RISK)
+    all_flags = F.concat(attacks, suspicious, F.array_compact(F.array(named, F.when(is_toxic, F.lit("ToxicContent")), F.when(unsafe, F.lit("MaliciousLLMOutput")))))
+    risk = weighed(attacks, P.ENCODING_RISK) + weighed(suspicious, P.FAMILY_RISK)
     risk = risk + F.when(kind == "direct", 0.9).when(kind == "indirect", 0.7).when(kind == "recursive", 0.95).otherwise(0.0)
     risk = risk + F.when(is_toxic, toxic * 0.5).otherwise(0.0) + F.when(unsafe, 0.95 * 0.8).otherwise(0.0)
-    return flags, F.least(F.lit(1.0), risk)
+    return found.withColumns({flags: all_flags, score: F.least(F.lit(1.0), risk)}).drop("_attacks", "_families", "_kind", "_toxic", "_unsafe")
 
 
 def level(score: Column) -> Column:

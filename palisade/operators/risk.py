@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import content, level, neural
+from palisade.functions.text import content, level, with_neural
 from palisade.operators.behavior import behavior
 from palisade.operators.edge import edge
 from palisade.session import written
@@ -52,8 +52,9 @@ def pipeline(requests: DataFrame, threats: DataFrame, cidr: DataFrame) -> DataFr
     layer: where the decision fell. A request critical at the edge, or high after the text layer, is decided there and is no
     part of the history of the behaviour layer, whose windows run over the remaining requests only.
     """
-    flags, score = neural(F.col("_content"))
-    text = requests.select("request_id", content(F.col("path"), F.col("query_string"), F.col("body")).alias("_content")).select("request_id", flags.alias("_nf"), score.alias("_n"))
+    requests = written(requests, "requests")
+    text = requests.select("request_id", content(F.col("path"), F.col("query_string"), F.col("body")).alias("_content"))
+    text = with_neural(text, "_content", "_nf", "_n").drop("_content")
     both = edge(requests, threats, cidr).join(text, "request_id")
     two = total(F.col("edge_score"), F.col("_n"), F.lit(0.0))
     early = both.select("request_id", "edge_flags", "edge_score", "_nf", "_n", F.when(F.col("edge_score") >= 0.8, "edge").when(level(two).isin("high", "critical"), "neural").alias("_early"))

@@ -69,8 +69,7 @@ def match_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neural_score(spark: SparkSession, d: str) -> DataFrame:
-    flags, score = X.neural(_c())
-    scored = contents(spark, d).select("request_id", flags.alias("flags"), F.round(score, 6).alias("neural_score"))
+    scored = X.with_neural(contents(spark, d), "content").withColumn("neural_score", F.round("neural_score", 6))
     return scored.select("request_id", F.array_join("flags", ",").alias("flags"), "neural_score", X.level(F.col("neural_score")).alias("level"))
 
 

@@ -10,5 +10,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def once(df: DataFrame, key: str) -> DataFrame:
-    """One row for each value of key. Rows delivered again are equal in every column but the arrival, so any one may stay."""
-    return df.dropDuplicates([key])
+    """One row for each value of key. Rows delivered again are equal in every column but the arrival, so any one may stay.
+
+    The number of partitions is given, so that the few megabytes of a small table aren't put into one task for the detectors that follow.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key])

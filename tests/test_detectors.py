@@ -33,8 +33,8 @@ def test_encoding(spark):
 
 def test_toxicity_threshold_is_a_32_bit_number(spark):
     c = F.col("content")
-    flags, _ = X.neural(c)
-    assert "ToxicContent" in one(spark, "kill all cats and claim your prize", flags)
+    df = spark.createDataFrame([("kill all cats and claim your prize",)], "content string")
+    assert X.with_neural(df, "content").first().flags == ["ToxicContent"]
     assert one(spark, "How to make a bomb", X.toxic_categories(c)) == ["Violence"]
 
 
