@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import content, level, with_neural
 from palisade.operators.behavior import behavior
-from palisade.operators.edge import edge
+from palisade.operators.edge import banned, edge
 from palisade.session import written
 
 #: Share of each layer in the total.
@@ -46,9 +46,11 @@ def action(name: Column, flags: Column) -> Column:
     return F.when(name == "critical", "block").when(name == "high", "challenge").when(name == "medium", F.when(F.size(flags) >= 2, "challenge").otherwise("rate_limit")).when(name == "low", "rate_limit").otherwise("allow")
 
 
-def pipeline(requests: DataFrame, threats: DataFrame, cidr: DataFrame) -> DataFrame:
+def pipeline(requests: DataFrame, threats: DataFrame, cidr: DataFrame, bans: DataFrame) -> DataFrame:
     """request_id, layer, level, action, score, flags of every request through all layers.
 
+    A request from an address with a ban in force is blocked, whatever its level; its layer, level, score and flags stay.
+
     layer: where the decision fell. A request critical at the edge, or high after the text layer, is decided there and is no
     part of the history of the behaviour layer, whose windows run over the remaining requests only.
     """
@@ -67,4 +69,6 @@ def pipeline(requests: DataFrame, threats: DataFrame, cidr: DataFrame) -> DataFr
     all_flags = F.when(at_edge, F.col("edge_flags")).otherwise(F.concat("edge_flags", "_nf", F.coalesce("behavior_flags", F.array().cast("array<string>"))))
     out = r.select("request_id", layer.alias("layer"), score3.alias("score"), all_flags.alias("flags"))
     named = out.withColumn("level", level(F.round("score", 9)))
-    return named.select("request_id", "layer", "level", action(F.col("level"), F.col("flags")).alias("action"), "score", "flags")
+    named = named.join(banned(requests.select("request_id", "client_ip", "ts_us"), bans).select("request_id", "is_banned"), "request_id")
+    act = F.when(F.col("is_banned"), "block").otherwise(action(F.col("level"), F.col("flags")))
+    return named.select("request_id", "layer", "level", act.alias("action"), "score", "flags")

@@ -47,7 +47,7 @@ def recommended_action(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return K.pipeline(requests(spark, d), table(spark, d, "threats"), table(spark, d, "cidr"))
+    return K.pipeline(requests(spark, d), table(spark, d, "threats"), table(spark, d, "cidr"), table(spark, d, "bans"))
 
 
 def final_action(spark: SparkSession, d: str) -> DataFrame:
