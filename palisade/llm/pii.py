@@ -85,7 +85,7 @@ def _plain(m: re.Match[str]) -> str:
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_AT_WORDS, _DOT_WORDS = frozenset("at arroba ät".split()), frozenset("dot punto punkt point".split())
+_AT_WORDS = frozenset("at arroba ät".split())
 
 
 def words(text: str) -> set[str]:
@@ -106,7 +106,8 @@ def normalised(text: str) -> Tape:
     there = words(tape.text)
     if not there.isdisjoint(_DIGITS):
         tape.rewrite(_SPELLED, lambda m: _digits(m[0]))
-    if not there.isdisjoint(_AT_WORDS) and ("." in tape.text or not there.isdisjoint(_DOT_WORDS)) or "@" in tape.text and not there.isdisjoint(_DOT_WORDS):
+    # every match of _SPELLED_MAIL has an at, and only joints are rewritten
+    if ("@" in tape.text or not there.isdisjoint(_AT_WORDS)) and _JOINTS.search(tape.text):
         _mail_joints(tape)
     return tape
 

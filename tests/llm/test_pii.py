@@ -13,6 +13,11 @@ def found(text):
         ("mail me: anna.berg+x@mail.example.org.", [("anna.berg+x@mail.example.org", "email")]),
         ("reach anna at mail dot example dot org now", [("anna at mail dot example dot org", "email")]),
         ("<anna[at]example[dot]net>", [("anna[at]example[dot]net", "email")]),
+        ("mail anna[@]example.net now", [("anna[@]example.net", "email")]),
+        ("anna@example[.]net", [("anna@example[.]net", "email")]),
+        ("anna (@) example (.) net", [("anna (@) example (.) net", "email")]),
+        ("anna {@} mail.example <.> net or call", [("anna {@} mail.example <.> net", "email")]),
+        ("match f(.) or [@] here, a[.]b", []),
         ("ａｎｎａ＠ｅｘａｍｐｌｅ．ｎｅｔ", [("ａｎｎａ＠ｅｘａｍｐｌｅ．ｎｅｔ", "email")]),
         ("an​na@exаmple.net", [("an​na@exаmple.net", "email")]),
         ("call +44 (0)7700 900123, ext 12", [("+44 (0)7700 900123, ext 12", "phone")]),
