@@ -224,12 +224,15 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     if "@" in s:
         for m in _MAIL.finditer(s):
             take(*m.span(), "email")
-    if _SOME_DIGITS.search(s):
+    some_digits = _SOME_DIGITS.search(s)
+    if some_digits:
         for m in _ID_LABELLED.finditer(s) if not there.isdisjoint(_ID_WORDS) else ():
             take(*m.span(1), "id_number")
+    if _DIGIT.search(s):
         for m in _ADDRESS.finditer(s) if not there.isdisjoint(_STREET_WORDS) or _GERMAN_STREET.search(s) else ():
             if not (_STREET_ONLY.match(m[0]) and _MAP_ITEM.match(s, m.end())):
                 take(*m.span(), "address")
+    if some_digits:
         for m in _PHONE.finditer(s):
             digits = sum(c.isdigit() for c in m[0])
             if digits >= 9 and not _NOT_PHONE.search(s, max(0, m.start() - 24), m.start()):
@@ -248,7 +251,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-_SOME_DIGITS = re.compile(r"\d[\d\W]*\d|\d [A-Za-z]")
+# Telephone and identity numbers have several digits, an address may have one.
+_SOME_DIGITS, _DIGIT = re.compile(r"\d[\d\W]*\d|\d [A-Za-z]"), re.compile(r"\d")
 _FOR = next(p for p in _NAMES if "for\\s+" in p.pattern)
 
 # Not to be moved below the grouping of equal texts by the optimizer: marked as not deterministic where it is used.

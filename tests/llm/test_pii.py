@@ -28,6 +28,11 @@ def found(text):
         ("passport no. XR4883662 belongs to D. Berg.", [("XR4883662", "id_number"), ("D. Berg", "name")]),
         ("Vivo en Calle Mayor, n.º 12, 3.º B, 00123 Robledal, dijo", [("Calle Mayor, n.º 12, 3.º B, 00123 Robledal", "address")]),
         ("at 12 Oak Street, Unit 4, Newtown, QX 12345.", [("12 Oak Street, Unit 4, Newtown, QX 12345", "address")]),
+        ("Meine Adresse ist Hauptstraße 5.", [("Hauptstraße 5", "address")]),
+        ("Vivo en Calle Mayor, 7, gracias", [("Calle Mayor, 7", "address")]),
+        ("I live at 5B Oak Street, thanks", [("5B Oak Street", "address")]),
+        ("au 5, rue Pasteur, merci", [("5, rue Pasteur", "address")]),
+        ("5th Street is closed, see Road 7", []),
         ("8830 Retry Road map items are open", []),
         ("Dear Mr. N. O'Berg, we moved", [("N. O'Berg", "name")]),
         ("Ask ANNA BERG about it", [("ANNA BERG", "name")]),
