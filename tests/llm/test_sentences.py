@@ -44,3 +44,17 @@ def test_edges(spark):
     assert set(got) == {4, 5, 6} and got[4] == [(0, 6)] and len(got[5]) == 5000
     assert sorted(got[5])[-1] == (len(long) - 15, len(long) - 1)
     assert sorted(got[6])[-1][1] == len(rows[5][1])
+
+
+@pytest.mark.parametrize(("a", "b"), ["“”", "«»", "()", "[]", '""', "''"])
+def test_long_quotes_and_brackets(spark, a, b):
+    inner = "One is here. " * 500
+    text = f"They read {a}{inner}Two{b} aloud. The end.\n\nA stray {a}mark. It ends nothing. Really."
+    got = sentences(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "doc_id", "text", keep_text=True).orderBy("start_pos").collect()
+    assert [r.sentence for r in got] == [f"They read {a}{inner}Two{b} aloud.", "The end.", f"A stray {a}mark.", "It ends nothing.", "Really."]
+
+
+def test_long_quote_after_a_colon(spark):
+    said = "He said: “" + "One is here. " * 80 + "Two.”"
+    got = sentences(spark.createDataFrame([(1, said + " Then he left.")], "doc_id bigint, text string"), "doc_id", "text", keep_text=True).orderBy("start_pos").collect()
+    assert [r.sentence for r in got] == [said, "Then he left."]
