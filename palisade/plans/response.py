@@ -10,7 +10,7 @@ from palisade.functions import patterns as P
 from palisade.operators import risk as K
 from palisade.plans.common import E_, L, R, logs, requests
 from palisade.plans.detectors import _N, LEVEL, neural_score
-from palisade.plans.layers import EDGE_SQL, behavior_sql
+from palisade.plans.layers import EDGE_SQL, behavior_score, behavior_sql, edge_score
 from palisade.sources.tables import once, table
 
 #: Flags of escalations that stand for components of the unified score.
@@ -24,11 +24,12 @@ def escalations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Total and level of text layer and escalation score (as the edge's) of the requests that were escalated."""
-    e = escalations(spark, d).groupBy("request_id").agg(F.max("score").alias("edge_score"))
-    n = neural_score(spark, d).select("request_id", "neural_score")
-    x = e.join(n, "request_id").select("request_id", F.round(K.total(F.col("edge_score"), F.col("neural_score"), F.lit(0.0)), 6).alias("total"))
-    return x.select("request_id", "total", F.expr("1").alias("n")).drop("n").withColumn("level", F.when(F.col("total") >= 0.8, "critical").when(F.col("total") >= 0.6, "high").when(F.col("total") >= 0.4, "medium").when(F.col("total") >= 0.2, "low").otherwise("none"))
+    """Total and level of edge, text and behaviour scores of every request; a layer without a score counts 0."""
+    scores = behavior_score(spark, d).select("request_id", "behavior_score").join(neural_score(spark, d).select("request_id", "neural_score"), "request_id", "full")
+    scores = scores.join(edge_score(spark, d).select("request_id", "edge_score"), "request_id", "full")
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    x = scores.select("request_id", F.round(K.total(part("edge_score"), part("neural_score"), part("behavior_score")), 6).alias("total"))
+    return x.withColumn("level", F.when(F.col("total") >= 0.8, "critical").when(F.col("total") >= 0.6, "high").when(F.col("total") >= 0.4, "medium").when(F.col("total") >= 0.2, "low").otherwise("none"))
 
 
 def unified_risk(spark: SparkSession, d: str) -> DataFrame:
