@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.text import content, level, with_neural
-from palisade.operators.behavior import behavior
+from palisade.operators.behavior import TRACE, behavior_of, traces
 from palisade.operators.edge import banned, edge
-from palisade.session import written
+from palisade.operators.windows import by_size, heavy_keys, rows_at_most, running
+from palisade.session import spread, written
+from palisade.sources.tables import once
 
 #: Share of each layer in the total.
 LAYERS = {"edge": 0.2, "neural": 0.5, "behavior": 0.3}
@@ -46,29 +50,61 @@ def action(name: Column, flags: Column) -> Column:
     return F.when(name == "critical", "block").when(name == "high", "challenge").when(name == "medium", F.when(F.size(flags) >= 2, "challenge").otherwise("rate_limit")).when(name == "low", "rate_limit").otherwise("allow")
 
 
-def pipeline(requests: DataFrame, threats: DataFrame, cidr: DataFrame, bans: DataFrame) -> DataFrame:
-    """request_id, layer, level, action, score, flags of every request through all layers.
+#: How long a critical request bans its address and its agent.
+BAN_US = 86_400_000_000
+
+
+def fed_back(decided: DataFrame, heavy: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds ip_banned and agent_banned: whether a critical request of the address, or of the agent, came in the BAN_US before a row.
+
+    decided: request_id, ts_us, client_ip, agent (one that begins with a zero character names no agent), level. A critical
+    request renews the ban. A row's own level doesn't ban it.
+    """
+    critical = F.when(F.col("level") == "critical", F.col("ts_us"))
+
+    def last(key: str, name: str) -> Callable[[DataFrame, bool], DataFrame]:
+        return lambda x, cut: running(x, [key], "ts_us", "request_id", {name: critical}, cut=cut, of=F.max)
 
-    A request from an address with a ban in force is blocked, whatever its level; its layer, level, score and flags stay.
+    r = by_size(decided, "client_ip", heavy or {}, last("client_ip", "_ip"))
+    r = by_size(r, "agent", heavy or {}, last("agent", "_agent"))
+    recent = lambda c: F.coalesce(F.col("ts_us") - F.col(c) <= BAN_US, F.lit(False))
+    return r.withColumns({"ip_banned": recent("_ip") & F.col("client_ip").isNotNull(), "agent_banned": recent("_agent") & ~F.col("agent").startswith("\0")}).drop("_ip", "_agent")
+
+
+def decisions(requests: DataFrame, threats: DataFrame, cidr: DataFrame, bans: DataFrame) -> DataFrame:
+    """request_id, layer, level, action, ban, score, flags of every request through all layers. Requests delivered again count once.
+
+    A request from an address with a ban in force, or whose address or agent sent a critical request in the day before, is
+    blocked, whatever its level; its layer, level, score and flags stay. ban: listed, ip, agent, or null.
 
     layer: where the decision fell. A request critical at the edge, or high after the text layer, is decided there and is no
     part of the history of the behaviour layer, whose windows run over the remaining requests only.
+
+    The text is read in the scan; what goes on from there is narrow rows without it.
     """
-    requests = written(requests, "requests")
-    text = requests.select("request_id", content(F.col("path"), F.col("query_string"), F.col("body")).alias("_content"))
-    text = with_neural(text, "_content", "_nf", "_n").drop("_content")
-    both = edge(requests, threats, cidr).join(text, "request_id")
+    rows = spread(requests).withColumn("_content", content(F.col("path"), F.col("query_string"), F.col("body")))
+    rows = traces(with_neural(rows, "_content", "_nf", "_n"), "_nf", "_n")
+    rows = written(once(rows, "request_id"), "traces")
+    both = rows.join(edge(rows.select("request_id", "client_ip", "ts_us", "path"), threats, cidr), "request_id")
     two = total(F.col("edge_score"), F.col("_n"), F.lit(0.0))
-    early = both.select("request_id", "edge_flags", "edge_score", "_nf", "_n", F.when(F.col("edge_score") >= 0.8, "edge").when(level(two).isin("high", "critical"), "neural").alias("_early"))
-    early = written(early, "layers")
-    slow = requests.join(early.where("_early IS NULL").select("request_id"), "request_id", "left_semi")
-    r = early.join(behavior(written(slow, "slow")), "request_id", "left")
+    early = F.when(F.col("edge_score") >= 0.8, "edge").when(level(two).isin("high", "critical"), "neural")
+    both = written(both.withColumn("_early", early), "layers")
+    slow = behavior_of(both.where("_early IS NULL").select(*TRACE))
+    r = both.select("request_id", "ts_us", "client_ip", "agent", "edge_flags", "edge_score", "_nf", "_n", "_early").join(slow, "request_id", "left")
     at_edge = F.col("_early") == "edge"
     layer = F.coalesce("_early", F.lit("behavior"))
     score3 = F.when(at_edge, F.col("edge_score")).otherwise(total(F.col("edge_score"), F.col("_n"), F.coalesce("behavior_score", F.lit(0.0))))
     all_flags = F.when(at_edge, F.col("edge_flags")).otherwise(F.concat("edge_flags", "_nf", F.coalesce("behavior_flags", F.array().cast("array<string>"))))
-    out = r.select("request_id", layer.alias("layer"), score3.alias("score"), all_flags.alias("flags"))
+    out = r.select("request_id", "ts_us", "client_ip", "agent", layer.alias("layer"), score3.alias("score"), all_flags.alias("flags"))
     named = out.withColumn("level", level(F.round("score", 9)))
-    named = named.join(banned(requests.select("request_id", "client_ip", "ts_us"), bans).select("request_id", "is_banned"), "request_id")
-    act = F.when(F.col("is_banned"), "block").otherwise(action(F.col("level"), F.col("flags")))
-    return named.select("request_id", "layer", "level", act.alias("action"), "score", "flags")
+    heavy = heavy_keys(both, ["client_ip", "agent"], rows_at_most(both))
+    listed = by_size(named, "client_ip", heavy, lambda x, cut: banned(x, bans, cut=cut))
+    fed = fed_back(listed, heavy)
+    ban = F.when(F.col("is_banned"), "listed").when(F.col("ip_banned"), "ip").when(F.col("agent_banned"), "agent")
+    act = F.when(ban.isNotNull(), "block").otherwise(action(F.col("level"), F.col("flags")))
+    return fed.select("request_id", "layer", "level", act.alias("action"), ban.alias("ban"), "score", "flags")
+
+
+def pipeline(requests: DataFrame, threats: DataFrame, cidr: DataFrame, bans: DataFrame) -> DataFrame:
+    """request_id, layer, level, action, score, flags of ``decisions``."""
+    return decisions(requests, threats, cidr, bans).drop("ban")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from palisade.functions import patterns as P
 from palisade.operators import risk as K
 from palisade.plans.common import E_, L, R, logs, requests
-from palisade.plans.detectors import _N, LEVEL, neural_score
+from palisade.plans.detectors import _N, AGENT, LEVEL, neural_score
 from palisade.plans.layers import EDGE_SQL, behavior_score, behavior_sql, edge_score
 from palisade.sources.tables import once, table
 
@@ -48,7 +48,7 @@ def recommended_action(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return K.pipeline(requests(spark, d), table(spark, d, "threats"), table(spark, d, "cidr"), table(spark, d, "bans"))
+    return K.pipeline(table(spark, d, "requests").drop("received_ts"), table(spark, d, "threats"), table(spark, d, "cidr"), table(spark, d, "bans"))
 
 
 def final_action(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +258,11 @@ _P = f"""{EDGE_SQL.replace("edge AS (SELECT", "edge AS MATERIALIZED (SELECT")},
     p0 AS (SELECT request_id, coalesce(early, 'behavior') AS layer, CASE WHEN early = 'edge' THEN edge_score ELSE least(1::DOUBLE, edge_score * 0.2::DOUBLE + n * 0.5::DOUBLE + coalesce(behavior_score, 0) * 0.3::DOUBLE) END AS score,
         CASE WHEN early = 'edge' THEN edge_flags ELSE concat_ws(',', nullif(edge_flags, ''), nullif(nf, ''), nullif(behavior_flags, '')) END AS flags FROM t LEFT JOIN beh USING (request_id)),
     p1 AS (SELECT *, {LEVEL.format("round(score, 9)")} AS level FROM p0),
-    p AS MATERIALIZED (SELECT request_id, layer, level, CASE level WHEN 'critical' THEN 'block' WHEN 'high' THEN 'challenge' WHEN 'medium' THEN CASE WHEN contains(flags, ',') THEN 'challenge' ELSE 'rate_limit' END WHEN 'low' THEN 'rate_limit' ELSE 'allow' END AS action, round(score, 6) AS score, flags FROM p1),
+    bl0 AS (SELECT DISTINCT r.request_id FROM r JOIN bans b ON b.ip = r.client_ip AND b.created_epoch * 1000000 <= r.ts_us AND (b.expires_epoch IS NULL OR r.ts_us <= b.expires_epoch * 1000000)),
+    p2 AS (SELECT p1.*, r.ts_us, r.client_ip, {AGENT} AS agent, bl0.request_id IS NOT NULL AS listed FROM p1 JOIN r USING (request_id) LEFT JOIN bl0 ON bl0.request_id = p1.request_id),
+    p3 AS (SELECT *, ts_us - max(CASE WHEN level = 'critical' THEN ts_us END) OVER (PARTITION BY client_ip ORDER BY ts_us, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 86400000000 AS by_ip,
+        ts_us - max(CASE WHEN level = 'critical' THEN ts_us END) OVER (PARTITION BY agent ORDER BY ts_us, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 86400000000 AND agent IS NOT NULL AS by_agent FROM p2),
+    p AS MATERIALIZED (SELECT request_id, layer, level, CASE WHEN listed THEN 'listed' WHEN coalesce(by_ip, false) THEN 'ip' WHEN coalesce(by_agent, false) THEN 'agent' END AS ban, CASE WHEN listed OR coalesce(by_ip, false) OR coalesce(by_agent, false) THEN 'block' ELSE CASE level WHEN 'critical' THEN 'block' WHEN 'high' THEN 'challenge' WHEN 'medium' THEN CASE WHEN contains(flags, ',') THEN 'challenge' ELSE 'rate_limit' END WHEN 'low' THEN 'rate_limit' ELSE 'allow' END END AS action, round(score, 6) AS score, flags FROM p3),
     m AS (SELECT 'total' AS counter, 'all' AS value, count(*) AS n FROM p UNION ALL SELECT 'action', action, count(*) FROM p GROUP BY action UNION ALL SELECT 'level', level, count(*) FROM p GROUP BY level)"""
 _BL = "bl AS (SELECT ip, arg_max({'ban_id': ban_id, 'reason': reason, 'created_epoch': created_epoch, 'expires_epoch': expires_epoch}, (created_epoch, ban_id)) AS b, count(*) AS bans FROM bans GROUP BY ip), ba AS (SELECT ip, b.reason AS reason, b.expires_epoch - " + NOW_SQL + " AS remaining_secs FROM bl WHERE b.expires_epoch IS NULL OR b.expires_epoch > " + NOW_SQL + ")"
 _LAB = f"""{L}, lb0 AS (SELECT log_id, regexp_replace(body, '^[{P._SPACE}\\x1c-\\x1f]+|[{P._SPACE}\\x1c-\\x1f]+$', '', 'g') AS text, coalesce(score, 0) AS score, coalesce(contains(lower(action), 'block'), false) AS blocked, flags FROM l WHERE body <> ''),
@@ -266,10 +270,10 @@ _LAB = f"""{L}, lb0 AS (SELECT log_id, regexp_replace(body, '^[{P._SPACE}\\x1c-\
 _TOP = lambda c, n, severe: f"WITH {L} SELECT {c}, count(*) AS n FROM l WHERE {c} IS NOT NULL {'AND level IN (' + chr(39) + 'WARN' + chr(39) + ', ' + chr(39) + 'ERROR' + chr(39) + ')' if severe else ''} GROUP BY 1 ORDER BY n DESC, {c} LIMIT {n}"
 
 ORACLE = {
-    "layer_fusion": f"WITH {_N}, {E_}, s AS (SELECT request_id, max(score) AS es FROM e GROUP BY 1), t AS (SELECT request_id, round(least(1::DOUBLE, es * 0.2::DOUBLE + neural_score * 0.5::DOUBLE), 6) AS total FROM s JOIN n USING (request_id)) SELECT *, {LEVEL.format('total')} AS level FROM t",
+    "layer_fusion": f"""WITH {EDGE_SQL}, {_N[len(R) + 2 :]}, {behavior_sql("r")}, t AS (SELECT request_id, round(least(1::DOUBLE, round(edge_score, 6) * 0.2::DOUBLE + neural_score * 0.5::DOUBLE + round(behavior_score, 6) * 0.3::DOUBLE), 6) AS total FROM edge JOIN n USING (request_id) JOIN beh USING (request_id)) SELECT *, {LEVEL.format('total')} AS level FROM t""",
     "unified_risk": f"WITH {_U} SELECT *, CASE level WHEN 'none' THEN 1::DOUBLE WHEN 'low' THEN 0.9 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.25 ELSE 0 END AS multiplier FROM ul",
     "recommended_action": f"WITH {E_} SELECT escalation_id, CASE WHEN score > 0.9 AND coalesce(list_has_any(flags, ['DirectInjection', 'IndirectInjection']), false) OR score > 0.8 AND coalesce(list_contains(flags, 'Coordinated'), false) OR score >= 0.9 THEN 'block' WHEN score >= 0.7 THEN 'challenge' WHEN score >= 0.5 THEN 'rate_limit' WHEN score >= 0.3 THEN 'monitor' ELSE 'allow' END AS action FROM e",
-    "final_action": f"WITH {_P} SELECT * FROM p",
+    "final_action": f"WITH {_P} SELECT request_id, layer, level, action, score, flags FROM p",
     "metrics_counts": f"WITH {_P} SELECT counter, value, n FROM m",
     "prometheus": f"""WITH {_P} SELECT CASE WHEN counter = 'total' THEN 'palisade_requests_total' ELSE 'palisade_requests_by_' || counter || '{{' || counter || '="' || value || '"}}' END || ' ' || n AS line FROM m""",
     "latency_histogram": "WITH r AS (SELECT request_id, min(epoch_us(received_ts) - ts_us) AS us FROM requests GROUP BY 1), b AS (SELECT CASE WHEN us < 100 THEN 0 WHEN us < 500 THEN 1 WHEN us < 1000 THEN 2 WHEN us < 5000 THEN 3 WHEN us < 10000 THEN 4 ELSE 5 END AS bucket, count(*) AS n, sum(us)::BIGINT AS us FROM r GROUP BY 1) SELECT bucket, n, (sum(n) OVER (ORDER BY bucket))::BIGINT AS cumulative, us // n AS avg_us FROM b",

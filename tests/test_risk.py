@@ -1,4 +1,4 @@
-from palisade.operators.risk import pipeline
+from palisade.operators.risk import fed_back, pipeline
 from palisade.plans.detectors import neural_score
 from palisade.plans.layers import behavior_score, edge_score
 from palisade.plans.response import layer_fusion
@@ -39,3 +39,12 @@ def test_fusion_takes_all_requests_and_layers(spark, tmp_path):
     want = {i: min(1, 0.2 * e[i].edge_score + 0.5 * n[i].neural_score + 0.3 * b[i].behavior_score) for i in range(101)}
     assert set(got) == set(want) and all(abs(got[i].total - want[i]) < 2e-6 for i in want)
     assert max(r.behavior_score for r in b.values()) > 0 and got[100].total > 0.5
+
+
+def test_a_critical_request_bans_its_address_and_its_agent_for_a_day(spark):
+    day = 86_400_000_000
+    rows = [(1, 0, "a", "x", "critical"), (2, 5, "a", "y", "low"), (3, 6, "b", "x", "none"), (4, 7, "c", "z", "none"), (5, day + 1, "a", "z", "none"), (6, 0, None, "\0006", "critical"), (7, 9, None, "\0007", "none")]
+    df = spark.createDataFrame(rows, "request_id bigint, ts_us bigint, client_ip string, agent string, level string")
+    for heavy in ({}, {"client_ip": ["a"], "agent": ["x"]}):
+        got = {r.request_id: (r.ip_banned, r.agent_banned) for r in fed_back(df, heavy).collect()}
+        assert got == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, False), 5: (False, False), 6: (False, False), 7: (False, False)}

@@ -3,8 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from palisade.operators import edge as E
+from palisade.operators import behavior as B
 from palisade.operators.behavior import anomalies, fingerprints
-from palisade.operators.windows import by_rows, by_time, running
+from palisade.operators.windows import by_rows, by_size, by_time, in_slices, running
 
 T0 = 1_700_000_000_000_000
 
@@ -87,3 +88,42 @@ def test_sequence_anomaly(spark):
     rows = [(i, T0 + i * 1_000_000, "a", "GET", "/same", None, None, None, None, None, None, None, "x") for i in range(7)]
     got = {r.request_id: r.is_sequence for r in anomalies(spark.createDataFrame(rows, FULL)).collect()}
     assert [got[i] for i in range(7)] == [False] * 5 + [True] * 2
+
+
+def test_heavy_keys_give_what_plain_windows_give(spark):
+    rows = [(i, t, k if i % 7 else None, v, p) for i, t, k, v, p in stream(n=500, keys=2)] + [(900, None, "k0", 1, "/p1")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for f in (E.rate_limited, E.floods):
+        plain, cut = ({r.request_id: r.asDict() for r in f(df, heavy_from=n).collect()} for n in (10**6, 50))
+        assert len(plain) == len(rows) and plain == cut
+
+
+def test_heavy_agents_sessions_and_clusters(spark):
+    r = random.Random(5)
+    rows, t = [], T0
+    for i in range(300):
+        t += r.randrange(0, 3_000_000)
+        rows.append((i, t, f"a{r.randrange(3)}" if r.random() < 0.9 else None, "GET", f"/p/{r.randrange(5)}/x{r.randrange(3)}", None, f"u{r.randrange(2)}", "en", f"Bearer t{r.randrange(2)}", None, None, None, "b" * r.randrange(3)))
+    df = spark.createDataFrame(rows, FULL)
+    traced = B.traces(df)
+    for step, key in ((lambda x, c: B._profile(x, c, 30_000_000, 20, 0.5), "agent"), (lambda x, c: B._fingerprint(x, c, 0.7), "session_id"), (lambda x, c: B._cluster(x, c, 20_000_000), "signature"), (B._same_ip, "client_ip")):
+        some = {key: [x[0] if x[0] is not None else "\0" for x in traced.select(key).distinct().collect()][:2]}
+        whole, split = ({x.request_id: str(sorted(x.asDict().items())) for x in by_size(traced, key, h, step).collect()} for h in ({}, some))
+        assert len(whole) == len(rows) and whole == split
+
+
+def test_slices_of_the_whole_equal_one_sequence(spark):
+    rows = stream(n=300)
+    df = spark.createDataFrame(rows, SCHEMA)
+    steps = [{"m": lambda w: F.max("v").over(w.rowsBetween(-5, -1)), "p": lambda w: F.lag("v").over(w)}]
+    got = {x.request_id: (x.s, x.m, x.p) for x in in_slices(df, "ts_us", "request_id", {"s": F.col("v")}, 5, steps, rows=20).collect()}
+    for i in range(300):
+        assert got[i] == (sum(x[3] for x in rows[:i]), max((x[3] for x in rows[max(0, i - 5) : i]), default=None), rows[i - 1][3] if i else None)
+    assert in_slices(df.limit(0), "ts_us", "request_id", {"s": F.col("v")}, 5, steps).count() == 0
+
+
+def test_rate_peek_counts_what_came_before(spark):
+    seen = spark.createDataFrame([(i, T0 + i * 1000, "a", 0, "/") for i in range(6)], SCHEMA)
+    probes = spark.createDataFrame([(1, "a", T0 + 3500), (2, "a", T0 - 5), (3, "b", T0), (4, "a", T0 + 90_000_000)], "probe_id bigint, client_ip string, ts_us bigint")
+    got = {r.probe_id: (r.total, r.is_limited, r.remaining) for r in E.rate_peek(probes, seen, most=5).collect()}
+    assert got == {1: (4.0, False, 1), 2: (0.0, False, 5), 3: (0.0, False, 5), 4: (3.0, False, 2)}
