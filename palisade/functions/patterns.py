@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from re import _parser as regex_tree
+
 # Patterns, in the order in which they are tried.
 DIRECT = [
     r"ignore\s+(all\s+)?(previous|prior|above)\s+(instructions?|prompts?|rules?)",
@@ -24,6 +26,7 @@ DIRECT = [
     r"\bCONFIRM_VULNERABILITY\b",
     r"\bDISABLE_SECURITY\b",
 ]
+# Fixed values.
 INDIRECT = [
     r"\[\s*hidden\s*\]",
     r"<!--\s*(ignore|system|instruction)",
@@ -33,6 +36,7 @@ INDIRECT = [
     r"\\n\s*(system|instruction|prompt)\s*:",
     r"data:\s*text/(plain|html);",
 ]
+# Fixed values.
 RECURSIVE = [
     r"\{\{\s*prompt\s*\}\}",
     r"\$\{\s*(prompt|input|query)\s*\}",
@@ -41,6 +45,7 @@ RECURSIVE = [
     r"user\s+says?\s*:\s*.*system\s+says?\s*:",
     r"inject\s*(this|the\s+following)",
 ]
+# Fixed values.
 FAMILIES = {
     "SystemPromptLeak": [
         r"what\s+(is|are)\s+your\s+(system\s+)?(prompt|instructions?|rules?)",
@@ -132,12 +137,14 @@ FAMILIES = {
         r"\bDISABLE_SECURITY\b",
     ],
 }
+# Fixed values.
 TOXIC = {
     "HateSpeech": (0.4, [r"\b(hate|kill|murder)\s+(all|every)\s+\w+s\b", r"\b(exterminate|eliminate|eradicate)\s+(the\s+)?\w+s\b"]),
     "Violence": (0.5, [r"\bhow\s+to\s+(make|build|create)\s+(a\s+)?(bomb|weapon|explosive)", r"\bhow\s+to\s+(kill|murder|assassinate)", r"instructions?\s+(for|to)\s+(making|building)\s+weapons?"]),
     "SelfHarm": (0.6, [r"\bhow\s+to\s+(commit\s+)?suicide\b", r"\bways\s+to\s+(hurt|harm)\s+(myself|yourself)\b", r"\bbest\s+(way|method)\s+to\s+(die|end\s+it)\b"]),
     "Scam": (0.3, [r"send\s+\d+\s*(btc|eth|crypto|bitcoin)", r"wire\s+(me|us)\s+\$?\d+", r"nigerian\s+prince", r"you'?ve?\s+won\s+\$?\d+", r"claim\s+your\s+(prize|reward|winnings)"]),
 }
+# Fixed values.
 UNSAFE_OUTPUT = {
     "executable-script-tag": r"<script[^>]*>[\s\S]*?(fetch|eval|document\.|window\.location|XMLHttpRequest)[\s\S]*?</script>",
     "prompt-override": r"(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions|prompts|rules)",
@@ -146,11 +153,14 @@ UNSAFE_OUTPUT = {
     "img-event-handler-xss": r"""<img[^>]+onerror\s*=\s*["'][^"']*(?:fetch|document\.|XMLHttpRequest)""",
     "hidden-instruction": r"\[(?:HIDDEN_INSTRUCTION|SYSTEM_OVERRIDE|ADMIN_OVERRIDE)\]",
 }
+# Fixed values.
 BASE64_RUN = "[A-Za-z0-9+/]{20,}={0,2}"
 DECODED_WORDS = ["system", "prompt", "<script", "javascript:", "eval(", "exec("]
+# Fixed values.
 HOMOGLYPHS = ("АВСЕНІКМОРТХасеорхуѕіΑΒΕΖΗΙΚΜΝΟΡΤΥΧονⅰⅴⅹℓ№", "ABCEHIKMOPTXaceopxysiABEZHIKMNOPTYXovivxlN")
 INVISIBLE = [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x034F, 0x2061, 0x2062, 0x2063, 0x2064, 0x180E]
 BIDI = [0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2068, 0x2069]
+# Fixed values.
 FAMILY_WEIGHT = {"SystemPromptLeak": 0.7, "JailbreakAttempt": 0.9, "PromptLeakage": 0.5, "RolePlayExploit": 0.6, "InstructionOverride": 0.85}
 FAMILY_RISK = {"SystemPromptLeak": 0.8, "JailbreakAttempt": 0.9, "PromptLeakage": 0.7, "RolePlayExploit": 0.6, "InstructionOverride": 0.85}
 ENCODING_RISK = {"Base64Obfuscation": 0.4, "UnicodeHomoglyph": 0.5, "InvisibleChars": 0.6, "ControlChars": 0.3, "RtlOverride": 0.7}
@@ -174,3 +184,28 @@ def java(patterns: list[str] | str) -> str:
 
 def chars(points: list[int]) -> str:
     return "".join(map(chr, points))
+
+
+def _needed(tree: list) -> set[str] | None:
+    """Words of which a match of the parsed regex holds at least one, in lower case; None if there are none."""
+    found: list[set[str]] = []
+    run = ""
+    for op, arg in [*tree, (None, None)]:
+        if op is regex_tree.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            found.append({run})
+        run = ""
+        parts = [arg[3]] if op is regex_tree.SUBPATTERN else [arg[2]] if op in (regex_tree.MAX_REPEAT, regex_tree.MIN_REPEAT) and arg[0] else arg[1] if op is regex_tree.BRANCH else []
+        inner = [_needed(p) for p in parts]
+        if inner and all(inner):
+            found.append(set().union(*inner))
+    return max(found, key=lambda words: (min(map(len, words)), sum(map(len, words)) / len(words)), default=None)
+
+
+def needed(patterns: list[str] | str) -> list[str] | None:
+    """Words of which every text has at least one, in any case, in which one of patterns is found; None if some pattern has none."""
+    several = [patterns] if isinstance(patterns, str) else patterns
+    words = [_needed(regex_tree.parse(p)) for p in several]
+    return sorted(set().union(*words)) if all(words) else None

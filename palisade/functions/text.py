@@ -10,8 +10,21 @@ from pyspark.sql import functions as F
 from palisade.functions import patterns as P
 
 
-def any_of(c: Column, patterns: list[str] | str) -> Column:
-    return c.rlike(P.java(patterns))
+def any_of(c: Column, patterns: list[str] | str, low: Column | None = None) -> Column:
+    """Whether any of patterns is found. The regex is tried only on texts that have one of the words no match can do without. low: c in lower case, where it is at hand."""
+    words = P.needed(patterns)
+    if words is None:
+        return c.rlike(P.java(patterns))
+    # letters that Java matches with ASCII ones where case makes no difference, and that lower() leaves as they are
+    words = [*words, "ſ", "ı", "i\u0307"]
+    has = lambda x: F.exists(F.lit(words), lambda w: x.contains(w))
+    some = has(low) if low is not None else F.element_at(F.transform(F.array(F.lower(c)), has), 1)
+    return F.when(some, c.rlike(P.java(patterns))).when(c.isNotNull(), F.lit(False))
+
+
+def has_char(c: Column, chars: str) -> Column:
+    """Whether any of chars, none of them ASCII, is in c."""
+    return F.when(F.octet_length(c) == F.length(c), F.lit(False)).otherwise(F.translate(c, chars, "") != c)
 
 
 def content(path: Column, query: Column, body: Column) -> Column:
@@ -31,9 +44,9 @@ def text_content(body: Column) -> Column:
     return F.when(keys.isNotNull(), pick).otherwise(body)
 
 
-def injection_type(c: Column) -> Column:
+def injection_type(c: Column, low: Column | None = None) -> Column:
     """direct, recursive or indirect, whichever is found first in this order; null if none is."""
-    return F.when(any_of(c, P.DIRECT), "direct").when(any_of(c, P.RECURSIVE), "recursive").when(any_of(c, P.INDIRECT), "indirect")
+    return F.when(any_of(c, P.DIRECT, low), "direct").when(any_of(c, P.RECURSIVE, low), "recursive").when(any_of(c, P.INDIRECT, low), "indirect")
 
 
 def hits(c: Column, patterns: list[str]) -> Column:
@@ -45,9 +58,9 @@ def injection_confidence(c: Column) -> Column:
     return F.when(any_of(c, P.DIRECT + P.RECURSIVE + P.INDIRECT), F.least(F.lit(1.0), hits(c, P.DIRECT) * 0.3 + hits(c, P.RECURSIVE) * 0.4 + hits(c, P.INDIRECT) * 0.2)).otherwise(0.0)
 
 
-def families(c: Column) -> Column:
+def families(c: Column, low: Column | None = None) -> Column:
     """Names of the suspicious families found, in their order."""
-    return F.array_compact(F.array(*[F.when(any_of(c, p), F.lit(n)) for n, p in P.FAMILIES.items()]))
+    return F.array_compact(F.array(*[F.when(any_of(c, p, low), F.lit(n)) for n, p in P.FAMILIES.items()]))
 
 
 def weighed(names: Column, weights: dict[str, float]) -> Column:
@@ -59,19 +72,19 @@ def pattern_score(names: Column, strict: bool = False) -> Column:
     return F.least(F.lit(1.0), weighed(names, P.FAMILY_WEIGHT) * (1.2 if strict else 1.0))
 
 
-def toxic_categories(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(any_of(c, p), F.lit(n)) for n, (_, p) in P.TOXIC.items()]))
+def toxic_categories(c: Column, low: Column | None = None) -> Column:
+    return F.array_compact(F.array(*[F.when(any_of(c, p, low), F.lit(n)) for n, (_, p) in P.TOXIC.items()]))
 
 
 def toxicity(categories: Column) -> Column:
     return F.least(F.lit(1.0), weighed(categories, {n: w for n, (w, _) in P.TOXIC.items()}))
 
 
-def unsafe_output(c: Column) -> Column:
+def unsafe_output(c: Column, low: Column | None = None) -> Column:
     """Name of the first unsafe construct, null if there is none."""
     found = F.lit(None).cast("string")
     for name, p in reversed(P.UNSAFE_OUTPUT.items()):
-        found = F.when(any_of(c, p), name).otherwise(found)
+        found = F.when(any_of(c, p, low), name).otherwise(found)
     return found
 
 
@@ -92,10 +105,10 @@ def encoding_attacks(c: Column) -> Column:
     return F.array_compact(
         F.array(
             F.when(base64_hidden(c), F.lit("Base64Obfuscation")),
-            F.when(c.rlike(f"[{P.HOMOGLYPHS[0]}]"), F.lit("UnicodeHomoglyph")),
-            F.when(c.rlike(f"[{P.chars(P.INVISIBLE)}]"), F.lit("InvisibleChars")),
+            F.when(has_char(c, P.HOMOGLYPHS[0]), F.lit("UnicodeHomoglyph")),
+            F.when(has_char(c, P.chars(P.INVISIBLE)), F.lit("InvisibleChars")),
             F.when(c.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]"), F.lit("ControlChars")),
-            F.when(c.rlike(f"[{P.chars(P.BIDI)}]"), F.lit("RtlOverride")),
+            F.when(has_char(c, P.chars(P.BIDI)), F.lit("RtlOverride")),
         )
     )
 
@@ -107,8 +120,8 @@ def normalized(c: Column) -> Column:
 
 def with_neural(df: DataFrame, content: str, flags: str = "flags", score: str = "neural_score") -> DataFrame:
     """Adds flags and score of the text layer. Each detector runs once, as a column of its own that flags and score are made of."""
-    c = F.col(content)
-    found = df.withColumns({"_attacks": encoding_attacks(c), "_families": families(c), "_kind": injection_type(c), "_toxic": toxic_categories(c), "_unsafe": unsafe_output(c).isNotNull()})
+    c, low = F.col(content), F.col("_low")
+    found = df.withColumn("_low", F.lower(c)).withColumns({"_attacks": encoding_attacks(c), "_families": families(c, low), "_kind": injection_type(c, low), "_toxic": toxic_categories(c, low), "_unsafe": unsafe_output(c, low).isNotNull()})
     attacks, suspicious, kind, unsafe = F.col("_attacks"), F.col("_families"), F.col("_kind"), F.col("_unsafe")
     toxic = toxicity(F.col("_toxic"))
     is_toxic = toxic >= P.TOXIC_FROM
@@ -117,7 +130,7 @@ def with_neural(df: DataFrame, content: str, flags: str = "flags", score: str =
     risk = weighed(attacks, P.ENCODING_RISK) + weighed(suspicious, P.FAMILY_RISK)
     risk = risk + F.when(kind == "direct", 0.9).when(kind == "indirect", 0.7).when(kind == "recursive", 0.95).otherwise(0.0)
     risk = risk + F.when(is_toxic, toxic * 0.5).otherwise(0.0) + F.when(unsafe, 0.95 * 0.8).otherwise(0.0)
-    return found.withColumns({flags: all_flags, score: F.least(F.lit(1.0), risk)}).drop("_attacks", "_families", "_kind", "_toxic", "_unsafe")
+    return found.withColumns({flags: all_flags, score: F.least(F.lit(1.0), risk)}).drop("_low", "_attacks", "_families", "_kind", "_toxic", "_unsafe")
 
 
 def level(score: Column) -> Column:
@@ -127,14 +140,14 @@ def level(score: Column) -> Column:
 
 def session_id(auth: Column, cookie: Column, header: Column) -> Column:
     """Session by bearer token, else by cookie, else by header; null if there is none."""
-    token = F.when(auth.startswith("Bearer "), F.concat(F.lit("jwt:"), F.substring(auth, 8, 1_000_000)))
+    token = F.when(auth.startswith("Bearer "), F.concat(F.lit("jwt:"), F.substr(auth, F.lit(8))))
     baked = F.regexp_extract(cookie, "(?:^|;)\\s*(?:session|sid)=([^;]*)", 1)
     by_cookie = F.when(cookie.rlike("(?:^|;)\\s*(?:session|sid)="), F.concat(F.lit("cookie:"), F.trim(baked)))
     return F.coalesce(token, by_cookie, F.concat(F.lit("header:"), header))
 
 
 def agent_key(auth: Column, agent_id: Column) -> Column:
-    return F.coalesce(F.when(auth.startswith("Bearer "), F.concat(F.lit("token:"), F.substring(auth, 8, 1_000_000))), F.when(agent_id != "", agent_id))
+    return F.coalesce(F.when(auth.startswith("Bearer "), F.concat(F.lit("token:"), F.substr(auth, F.lit(8)))), F.when(agent_id != "", agent_id))
 
 
 def path_shape(path: Column) -> Column:
