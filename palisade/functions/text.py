@@ -27,9 +27,21 @@ def has_char(c: Column, chars: str) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lit(False)).otherwise(F.translate(c, chars, "") != c)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. The parser stops after the first value, so the text is also looked at as an element and as a field."""
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.try_variant_get(element, "$[0]", "variant").isNotNull() & F.try_variant_get(element, "$[1]", "variant").isNull()
+    return F.coalesce(one & F.try_parse_json(F.concat(F.lit('{"_":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
+def compact(body: Column) -> Column:
+    """A JSON object or list without blanks and with its keys in order at any depth; any other body as it is. Numbers are written in their shortest form."""
+    return F.when(body.rlike("^\\s*[{\\[]"), F.when(is_json(body), F.to_json(F.try_parse_json(body))).otherwise(body)).otherwise(body)
+
+
 def content(path: Column, query: Column, body: Column) -> Column:
-    """path, query and body on lines of their own; a missing query or body has none."""
-    return F.concat(path, F.lit("\n"), F.coalesce(F.concat(query, F.lit("\n")), F.lit("")), F.coalesce(body, F.lit("")))
+    """path, query and body on lines of their own; a missing path, query or body has none. A JSON body is compact."""
+    return F.concat(F.coalesce(path, F.lit("")), F.lit("\n"), F.coalesce(F.concat(query, F.lit("\n")), F.lit("")), F.coalesce(compact(body), F.lit("")))
 
 
 def text_content(body: Column) -> Column:

@@ -39,6 +39,12 @@ def is_trap(path: Column) -> Column:
     return low.isin(EXACT_TRAPS) | reduce(lambda a, b: a | b, [low.startswith(p) for p in PREFIX_TRAPS] + [low.endswith(s) for s in SUFFIX_TRAPS])
 
 
+def with_traps(requests: DataFrame, more: tuple[str, ...], answers: DataFrame) -> DataFrame:
+    """Adds is_trap, by the listed traps and by the paths in more (compared in lower case), and the answer registered for the path as it is written: answers has path, status_code, content_type, a short list."""
+    trap = is_trap(F.col("path")) | F.lower("path").isin([p.lower() for p in more])
+    return requests.withColumn("is_trap", F.coalesce(trap, F.lit(False))).join(F.broadcast(answers), "path", "left")
+
+
 def _heavy(df: DataFrame, most: int = HEAVY) -> dict[str, list[str]]:
     return heavy_keys(df, ["client_ip"], rows_at_most(df), most)
 

@@ -31,7 +31,8 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
 
 #: CTEs of the oracle.
 R = "r AS (SELECT DISTINCT request_id, ts_us, client_ip, method, path, query_string, user_agent, accept_language, auth_header, cookie, x_session_id, agent_id, body FROM requests)"
-C = R + ", c AS (SELECT request_id, path || chr(10) || coalesce(query_string || chr(10), '') || coalesce(body, '') AS content FROM r)"
+_COMPACT = """CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN '{' || array_to_string(list_transform(list_sort(json_keys(body)), lambda k: to_json(k)::VARCHAR || ':' || json_extract(body, '$."' || k || '"')::VARCHAR), ',') || '}' WHEN json_valid(body) AND json_type(body) = 'ARRAY' THEN json(body)::VARCHAR ELSE body END"""
+C = R + f", c AS (SELECT request_id, path || chr(10) || coalesce(query_string || chr(10), '') || coalesce({_COMPACT}, '') AS content FROM r)"
 L = "l AS (SELECT DISTINCT log_id, log_ts, level, target, fields.level AS event_level, fields.message AS message, fields.ip AS ip, fields.path AS path, fields.score AS score, fields.flags AS flags, fields.reason AS reason, fields.duration_secs AS duration_secs, fields.body AS body, fields.action AS action FROM logs)"
 E_ = "e AS (SELECT DISTINCT ON (escalation_id) * FROM escalations)"
 
