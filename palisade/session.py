@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,22 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once a session: functions of it are pickled by name, and workers start elsewhere."""
+    context = spark.sparkContext
+    if getattr(context, "_palisade_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="palisade-code-"), "palisade.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+    context.addPyFile(path)
+    context._palisade_shipped = True
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df into the shared folder and reads it again: lineage ends here and survives lost executors."""
     path = shared_dir(df.sparkSession, what)

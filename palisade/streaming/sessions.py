@@ -1,38 +1,30 @@
 """Sessions of activity by keyed timers over event time.
 
-Rows are keyed by (shard of actors, day); each key's state holds the open sessions of its actors. Ordered updates open
-a session or move its inactivity timeout; when the timer of the key expires at a watermark, every session whose
-timeout has passed is emitted with start, end and count, and the timer is set to the next one. A day in the key
-splits an actor with very many rows over many tasks; the pieces at both sides of midnight are then put together, of
-which there are at most two for each actor and day that touch, however many rows there are.
-
-A stream (``session_pieces``) and a bounded table (``sessions``) take the same operator. For a bounded table an
-end-of-input marker, far in the future, moves the watermark past every timer, so nothing is dropped however late it
-was delivered.
+1. Rows of an actor that fall into one slot of the length of the gap belong to one session whatever lies between them:
+   ``slots`` brings them to one piece (first, last, number) with map-side partials, so that an actor with a third of all
+   rows has no more than 48 pieces a day, and no Python process holds its rows.
+2. Pieces are keyed by actor in the engine's session state: an ordered update opens a session of the actor or extends it
+   and moves its inactivity timeout, the end of the session window; when the watermark passes that timeout the session
+   goes out with start, end and count, and its state is gone. State is one row for each session that may still grow, in
+   the JVM. (The same with a Python function for each actor and timer took twenty times as long.)
+
+A stream (``session_stream``) and a bounded table (``sessions``) take the same operator. A bounded table is fed in slices
+of event time, one micro-batch each, in order: at the end of a slice the watermark stands at its last piece, timers of
+what lies a gap before it expire, and no row counts as late however late it was delivered. After the last slice a piece
+of no actor, two gaps later than all others, lets the remaining timers expire.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime, timezone
-from typing import Any
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from palisade.session import shared_dir
+from palisade.session import shared_dir, written
 
 GAP_US = 1_800_000_000
-DAY_US = 86_400_000_000
 PIECE = "actor_kind string, actor string, start_us bigint, end_us bigint, n_events bigint"
-#: The open sessions of a key; ids: of all their events, by which a row delivered again is known.
-STATE = "actor array<string>, start_us array<bigint>, end_us array<bigint>, ids array<binary>"
-#: Event time of the end-of-input marker; the latest that nanoseconds in 64 bits nearly reach.
-_FAR = datetime(2260, 1, 1, tzinfo=timezone.utc)
+#: Pieces a micro-batch of a bounded table takes, about; and how many micro-batches it has at least.
+SLICE, SLICES = 20_000_000, 3
 
 
 def actor_events(requests: DataFrame) -> DataFrame:
@@ -41,92 +33,34 @@ def actor_events(requests: DataFrame) -> DataFrame:
     return requests.where(F.col("ts_us").isNotNull()).select(F.when(has, F.lit("agent")).otherwise(F.lit("ip")).alias("actor_kind"), F.when(has, F.col("agent_id")).otherwise(F.col("client_ip")).alias("actor"), F.timestamp_micros("ts_us").alias("ts"), "ts_us", "request_id")
 
 
-def _packed(kind: str, actor: str | None) -> str:
-    return kind[0] + ("-" if actor is None else "=" + actor)
-
-
-def _cut(actor: np.ndarray, start: np.ndarray, end: np.ndarray, gap_us: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of intervals by actor and start, and which of them begin a session (more than gap_us after all before)."""
-    order = np.lexsort((start, actor))
-    a, s, e = actor[order], start[order], end[order]
-    new_actor = np.r_[True, a[1:] != a[:-1]]
-    # the latest end so far within an actor: offsets keep actors apart in one running maximum
-    base = int(s.min()) if len(s) else 0
-    span = int(e.max() - base + gap_us + 2) if len(s) else 1
-    run = np.maximum.accumulate((e - base) + np.cumsum(new_actor) * span)
-    before = np.r_[0, run[:-1]] - np.cumsum(new_actor) * span + base
-    return order, new_actor | (s - before > gap_us)
-
-
-def _update(key: tuple[int, int], batches: Iterator[pd.DataFrame], state: Any, gap_us: int) -> Iterator[pd.DataFrame]:
-    """One key: events join its open sessions; at a timeout, what has expired goes out."""
-    actors, starts, ends, ids = ([], [], [], []) if not state.exists else state.get
-    if state.hasTimedOut:
-        now = state.getCurrentWatermarkMs() * 1000
-        over = [e + gap_us < now for e in ends]
-        out = [(a, s, e, len(i) // 8) for a, s, e, i, o in zip(actors, starts, ends, ids, over) if o]
-        if out:
-            a, s, e, n = zip(*out)
-            kinds = ["agent" if x[0] == "a" else "ip" for x in a]
-            yield pd.DataFrame({"actor_kind": kinds, "actor": [x[2:] if x[1] == "=" else None for x in a], "start_us": s, "end_us": e, "n_events": n})
-        left = [k for k, o in enumerate(over) if not o]
-        actors, starts, ends, ids = ([x[k] for k in left] for x in (actors, starts, ends, ids))
-    else:
-        new: list[pd.DataFrame] = [b[b["actor_kind"].notna()][["actor_kind", "actor", "ts_us", "request_id"]] for b in batches]
-        rows = pd.concat(new).drop_duplicates(["request_id"])
-        names = [_packed(k, a if isinstance(a, str) else None) for k, a in zip(rows["actor_kind"], rows["actor"])]
-        codes, uniques = pd.factorize(np.array([*actors, *names], dtype=object), sort=False)
-        ts, rid = rows["ts_us"].to_numpy(np.int64), rows["request_id"].to_numpy(np.int64)
-        known = len(actors)
-        if known:  # rows that an open session already has
-            seen = np.frombuffer(b"".join(bytes(x) for x in ids), dtype="<i8")
-            fresh = ~np.isin(rid, seen)
-            ts, rid, codes = ts[fresh], rid[fresh], np.r_[codes[:known], codes[known:][fresh]]
-        s0, e0 = np.r_[np.array(starts, np.int64), ts], np.r_[np.array(ends, np.int64), ts]
-        if not len(s0):
-            return
-        order, begins = _cut(codes, s0, e0, gap_us)
-        first = np.flatnonzero(begins)
-        codes, s0, e0 = codes[order], s0[order], e0[order]
-        mine: list[list[bytes]] = [[] for _ in first]
-        group = np.cumsum(begins) - 1
-        of_row = order - known
-        if known:
-            for g, k in zip(group[of_row < 0], order[of_row < 0]):
-                mine[g].append(bytes(ids[k]))
-        rows_at = np.flatnonzero(of_row >= 0)
-        packed, bounds = rid[of_row[rows_at]].astype("<i8"), np.searchsorted(group[rows_at], np.arange(len(first) + 1))
-        for g in range(len(first)):
-            mine[g].append(packed[bounds[g] : bounds[g + 1]].tobytes())
-        actors = [uniques[c] for c in codes[first]]
-        starts, ends = s0[first].tolist(), np.maximum.reduceat(e0, first).tolist()
-        ids = [b"".join(x) for x in mine]
-    if not actors:
-        state.remove()
-        return
-    state.update((actors, starts, ends, ids))
-    state.setTimeoutTimestamp(max((min(ends) + gap_us) // 1000 + 2, state.getCurrentWatermarkMs() + 1))
-
-
-def session_pieces(events: DataFrame, lateness: str, gap_us: int = GAP_US, shards: int = 4) -> DataFrame:
-    """events: a stream of actor_kind, actor, ts, ts_us, request_id. A session is emitted once the watermark is gap_us past its last row, in pieces of one day."""
-    keyed = events.withWatermark("ts", lateness).withColumn("_shard", F.pmod(F.xxhash64("actor_kind", "actor"), F.lit(shards)).cast("int")).withColumn("_day", F.expr(f"ts_us div {DAY_US}"))
-
-    def update(key: tuple[int, int], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        return _update(key, batches, state, gap_us)
-
-    return keyed.groupBy("_shard", "_day").applyInPandasWithState(update, PIECE, STATE, "append", "EventTimeTimeout")
-
-
-def joined_pieces(pieces: DataFrame, gap_us: int = GAP_US) -> DataFrame:
-    """Puts pieces of one actor together that lie at most gap_us apart; an actor has at most as many pieces as days times sessions of a day."""
-    by = W.partitionBy("actor_kind", "actor").orderBy("start_us", "end_us")
-    new = (F.col("start_us") - F.lag("end_us").over(by) > gap_us) | F.lag("end_us").over(by).isNull()
-    numbered = pieces.withColumn("_new", new.cast("int")).withColumn("_s", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("actor_kind", "actor", "_s").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_events").alias("n_events")).drop("_s")
-
-
-def sessions(spark: SparkSession, path: str, gap_us: int = GAP_US, rows_a_key: int = 4_000_000) -> DataFrame:
+def _piece() -> list:
+    return [F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n_events")]
+
+
+def slots(events: DataFrame, gap_us: int = GAP_US) -> DataFrame:
+    """Pieces of a bounded table: the events of an actor within one slot of gap_us, which can't be divided."""
+    slot = F.expr(f"ts_us div {gap_us} - if(ts_us < 0 and ts_us % {gap_us} <> 0, 1, 0)")
+    return events.groupBy("actor_kind", "actor", slot.alias("_slot")).agg(*_piece()).drop("_slot")
+
+
+def timed_sessions(pieces: DataFrame, gap_us: int = GAP_US) -> DataFrame:
+    """pieces: a stream with a watermark on ts, the start, of actor_kind, actor, ts, start_us, end_us, n_events. A session is emitted, whole, once the watermark is more than gap_us past its end.
+
+    A piece holds its actor's session open from its start until gap_us after its end, that instant included.
+    """
+    open_for = F.make_interval(secs=((F.col("end_us") - F.col("start_us") + gap_us) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)"))
+    grown = pieces.groupBy("actor_kind", "actor", F.session_window("ts", open_for).alias("_window"))
+    return grown.agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_events").alias("n_events")).drop("_window")
+
+
+def session_stream(requests: DataFrame, lateness: str, gap_us: int = GAP_US) -> DataFrame:
+    """Sessions of a stream of requests. A row may be late by ``lateness``; one that is later still is dropped. Rows delivered again within that time count once.
+    """
+    events = actor_events(requests).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"])
+    return timed_sessions(events.select("actor_kind", "actor", "ts", F.col("ts_us").alias("start_us"), F.col("ts_us").alias("end_us"), F.lit(1).cast("bigint").alias("n_events")), gap_us)
+
+
+def sessions(spark: SparkSession, path: str, gap_us: int = GAP_US, slice_rows: int = SLICE) -> DataFrame:
     """Sessions of a bounded table of requests at path: actor_kind, actor, start_us, end_us, n_events.
 
     Rows with one request_id count once; rows at the same instant belong together; null client_ip without an agent is
@@ -134,21 +68,35 @@ def sessions(spark: SparkSession, path: str, gap_us: int = GAP_US, rows_a_key: i
     ``actor_events`` are read.
     """
     work = shared_dir(spark, "sessions")
-    table = spark.read.parquet(path)
-    schema = T.StructType([f for f in table.schema.fields if f.name in ("agent_id", "client_ip", "ts_us", "request_id")])
-    files = table.inputFiles()
-    marker = spark.createDataFrame([(None, None, _FAR, 0, None)], "actor_kind string, actor string, ts timestamp, ts_us bigint, request_id bigint")
-    marker.coalesce(1).write.parquet(f"{work}/marker")
-    days, rows = table.where("ts_us is not null").agg(F.expr(f"(max(ts_us) - min(ts_us)) div {DAY_US} + 1"), F.count("*")).first()
-    shards = max(1, -(-rows // (rows_a_key * (days or 1)))) if rows else 1
-    if files and len(files) > 1 or path.endswith("/"):
-        source = spark.readStream.schema(schema).parquet(path)
-    else:  # a stream reads folders; a single file is a folder with a name filter
-        folder, _, name = path.rstrip("/").rpartition("/")
-        source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder if files and files[0].rstrip("/").endswith(name) else path)
-    stream = actor_events(source).unionByName(spark.readStream.schema(marker.schema).parquet(f"{work}/marker"))
-    # all input is in the first micro-batch, while no watermark is set yet: none of it counts as late
-    pieces = session_pieces(stream, "1 hour", gap_us, shards)
-    query = pieces.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return joined_pieces(spark.read.schema(PIECE).parquet(f"{work}/out"), gap_us)
+    table = spark.read.parquet(path).select("agent_id", "client_ip", "ts_us", "request_id")
+    pieces = written(slots(actor_events(table).dropDuplicates(["request_id"]), gap_us), "pieces")
+    n, first, last = pieces.agg(F.count("*"), F.min("start_us"), F.max("end_us")).first()
+    # the stream's clock starts a day before the first piece: a watermark never stands before 1970
+    shift = (first or 0) - 86_400_000_000
+    pieces = pieces.withColumn("ts", F.timestamp_micros(F.col("start_us") - shift))
+    source = f"{work}/in"
+    columns = ["actor_kind", "actor", "ts", "start_us", "end_us", "n_events"]
+    schema = pieces.select(*columns).schema
+    if n:
+        k = max(SLICES, -(-n // slice_rows))
+        edges = pieces.approxQuantile("start_us", [i / k for i in range(1, k)], 0.001)
+    else:
+        last, edges = 0, []
+    lows, highs = [None, *edges], [*edges, None]
+
+    def run() -> None:
+        stream = timed_sessions(spark.readStream.schema(schema).parquet(source).withWatermark("ts", "0 seconds"), gap_us)
+        query = stream.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    # a slice is the input of one micro-batch: it is written once the one before has been taken
+    for a, b in zip(lows, highs):
+        part = pieces if a is None else pieces.where(F.col("start_us") >= a)
+        part = part if b is None else part.where(F.col("start_us") < b)
+        part.select(*columns).write.mode("append").parquet(source)
+        if b is not None:
+            run()
+    end = spark.createDataFrame([(None, None, last + 2 * gap_us + 1_000_000, last, last, 0)], "actor_kind string, actor string, at bigint, start_us bigint, end_us bigint, n_events bigint").withColumn("ts", F.timestamp_micros(F.col("at") - shift))
+    end.select(*columns).coalesce(1).write.mode("append").parquet(source)
+    run()
+    return spark.read.schema(PIECE).parquet(f"{work}/out").where("actor_kind IS NOT NULL")
