@@ -128,8 +128,10 @@ def _mail_joints(tape: Tape) -> None:
 _MAIL = re.compile(r"(?i)(?<![\w.+@/-])[\w](?:[\w.+'-]*[\w+])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@])")
 
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|poste|доб\.)\s?\d{1,6})?"
+#: Letters and digits of scripts that put blanks between words: a number doesn't begin or end within such a word.
+_TIGHT = "0-9A-Za-z_À-ʯͰ-ӿ԰-֏א-ۿ"
 _PHONE = re.compile(
-    rf"""(?ix)(?<![\w.+/@=\#-])(?:
+    rf"""(?ix)(?<![{_TIGHT}.+/@=\#-])(?:
       \+\d{{1,3}}[\s.-]?(?:\(0\)[\s.-]?)?\(?\d{{1,5}}\)?(?:[\s./-]?\d{{2,6}}){{1,5}}
     | 00\d{{1,3}}[\s.-](?:\(0\)[\s.-]?)?\(?\d{{1,5}}\)?(?:[\s./-]\d{{2,6}}){{1,5}}
     | (?:1[\s.-]?)?\(\d{{3}}\)[\s.-]?\d{{3}}[\s.-]\d{{4}}
@@ -138,8 +140,15 @@ _PHONE = re.compile(
     | \(?0\d{{2,4}}\)?[\s/-]\d{{4,8}}(?:[\s-]\d{{2,5}})?
     | 0\d(?:[\s.]\d{{2}}){{4}}
     | 07\d{{9}}
-    ){_EXT}(?![\w@/=]|[.:-]\d)"""
+    | 0\d{{1,4}}-\d{{1,4}}-\d{{4}}
+    | 1[3-9]\d[ -]\d{{4}}[ -]\d{{4}}
+    ){_EXT}(?![{_TIGHT}@/=]|[.:-]\d)"""
 )
+# Words that say a telephone number follows, in whatever grouping.
+_PHONE_LABELLED = re.compile(rf"(?i)(?:(?<![^\W_])(?:tel(?:efon|ephone|éfono|éphone)?|phone|mobile|cell|fax|handy|móvil|portable|whatsapp|call(?: me)?(?: at| on)?|dial|ring(?: me)?(?: at| on)?|text me at|reach me at|тел|телефон|звоните)(?:\s*(?:number|no|nr|is|ist|es|est))?|电话|電話|手机|携帯)\.?\s*[:：是は]?\s*(\+?\(?\d[\d ().-]{{5,18}}\d)(?![{_TIGHT}@/=]|[.:-]\d)")
+_PHONE_WORDS = frozenset("tel telefon telephone teléfono téléphone phone mobile cell fax handy móvil portable whatsapp call dial ring reach text тел телефон звоните".split())
+#: Bank account numbers, which aren't asked for: no piece of one is a telephone number.
+_ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
 # Nouns whose numbers are not telephone numbers.
 _NOT_PHONE = re.compile(r"(?i)\b(?:ticket|order|rule|sku|build|batch|invoice|case|checksum|ratio was|port|version|job|ref|reference|trace|dossier|vorgang|caso|заявка|id|no\.?|nr\.?|#|commit|node|isbn|serial|part|item)\s*(?:id\s*)?[:#]?\s*$")
 
@@ -154,17 +163,19 @@ _TOWN = r"[A-ZÀ-ÖØ-Þ][\w'’]+(?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*(?:[ ](?!(?:Hi|
 _EN_KIND = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Close|Mews|Terrace|Ter\.?|Court|Ct\.?|Way|Boulevard|Blvd\.?|Place|Pl\.?|Square|Sq\.?|Crescent|Row|Hill|Walk|Gardens|Grove|Parkway|Pkwy\.?)"
 _FR_KIND = r"(?:rue|avenue|av\.|impasse|bd|boulevard|place|allée|chemin|quai|route|cours|square|passage)"
 _ES_KIND = r"(?:Calle|C/|Plaza|Avda\.|Av\.|Avenida|Paseo|Camino|Ronda|Travesía)"
+_RU_KIND = r"(?:ул\.|улица|пр\.|просп\.|проспект|пер\.|переулок|наб\.|набережная|пл\.|площадь|шоссе|бульвар|б-р)"
 _CODE_EN = r"(?:,?[ ](?:[A-Z]{2}[ ]\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}))"
 _ADDRESS = re.compile(
     rf"""(?x)(?<![\w.@/-])(?:
-      \d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{1,3}}?{_EN_KIND}(?![\w])(?![ ]+[a-z]+[ ](?:items|of|is|are|was))(?:,?[ ](?:Apt\.?|Apartment|Unit|Suite|Flat|\#)[ ]?\#?\w+)?(?:,[ ]{_TOWN}?{_CODE_EN}|,[ ]{_TOWN}|{_CODE_EN})?
+      \d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{1,3}}?{_EN_KIND}(?![\w])(?:[ ](?:NW|NE|SW|SE|North|South|East|West)\b)?(?![ ]+[a-z]+[ ](?:items|of|is|are|was))(?:,?[ ](?:Apt\.?|Apartment|Unit|Suite|Flat|\#)[ ]?\#?\w+)?(?:,[ ]{_TOWN}?{_CODE_EN}|,[ ]{_TOWN}|{_CODE_EN})?
     | \d{{1,4}}(?:[ ](?:bis|ter|quater))?,?[ ]{_FR_KIND}[ ](?:de[ ]la[ ]|de[ ]l['’]|des[ ]|du[ ]|de[ ]|d['’])?{_CAP}(?:[ ]{_CAP}){{0,2}}(?:,[ ]\d{{5}}[ ]{_TOWN})?
     | {_ES_KIND}[ ](?:de[ ]la[ ]|del[ ]|de[ ])?{_CAP}(?:[ ]{_CAP}){{0,2}},?[ ](?:n\.[ºo°][ ]?|núm\.[ ]?)?\d{{1,4}}(?:,[ ]?(?:\d{{1,2}}\.?[ºª][ ]?[A-Z]?|bajo|ático|\d{{1,2}}[ ]?[A-Z]))?(?:,[ ]\d{{5}}[ ]{_TOWN})?
-    | (?:[A-ZÄÖÜ]\w+[ ])?[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm)[ ]\d{{1,4}}(?:[ ]?[a-z](?!\w))?(?:,[ ]\d{{5}}[ ]{_TOWN})?
+    | (?:(?!(?:Meine|Deine|Seine|Ihre|Unsere|Eure|Diese|Jene|Eine|Keine)r?[ ])[A-ZÄÖÜ]\w*(?:e|er|en)[ ])?[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm)[ ]\d{{1,4}}(?:[ ]?[a-z](?!\w))?(?:,[ ]\d{{5}}[ ]{_TOWN})?
+    | {_RU_KIND}[ ]?[А-ЯЁ0-9][\w.-]*(?:[ ][А-ЯЁ][\w.-]*){{0,2}},[ ](?:д\.|дом)[ ]?\d{{1,4}}[А-Яа-я]?(?:[/-]\d{{1,3}})?(?:,[ ](?:корп\.|к\.|стр\.)[ ]?\d{{1,3}})?(?:,[ ](?:кв\.|квартира|оф\.|офис)[ ]?\d{{1,4}})?(?:,[ ]\d{{6}})?(?:,[ ](?:г\.[ ])?[А-ЯЁ][\w-]+)?
     )"""
 )
 # Words of which a text with a street address has one, but for the German kinds, which end a word.
-_STREET_WORDS = frozenset("street st road rd avenue ave lane ln drive dr close mews terrace ter court ct way boulevard blvd place pl square sq crescent row hill walk gardens grove parkway pkwy rue av impasse bd allée chemin quai route cours passage calle c plaza avda avenida paseo camino ronda travesía".split())
+_STREET_WORDS = frozenset("street st road rd avenue ave lane ln drive dr close mews terrace ter court ct way boulevard blvd place pl square sq crescent row hill walk gardens grove parkway pkwy rue av impasse bd allée chemin quai route cours passage calle c plaza avda avenida paseo camino ronda travesía ул улица пр просп проспект пер переулок наб набережная пл площадь шоссе бульвар б".split())
 _ID_WORDS = frozenset("ssn social passport insurance ni tax identity id national steuer steuerid steueridentifikationsnummer steuernummer ausweis ausweisnummer reisepass reisepassnummer dni nie nif nss pasaporte passeport fiscal паспорт снилс инн".split())
 _GERMAN_STREET = re.compile(r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm) \d")
 _MAP_ITEM = re.compile(r"\s+(?:map|incident|release|protocol|cluster)\b")
@@ -205,11 +216,68 @@ _NAME_WORDS = [
     frozenset(row.split())
     for row in ("lives", "am m is", "customer", "contact name kontakt contacto", "from", "thanks you regards sincerely grüße gruß cordialement atentamente saludos уважением", "belongs", "ask", "appelle", "llamo", "name", "зовут", "счёт", "fields", "anrufen", "like", "dear", "tell", "for", "merci gracias danke thanks hello hi bravo спасибо")
 ]
+# Names in any other wording: two or three words in the shape of a name are scored by what stands beside them.
+_UP = r"[A-ZÀ-ÖØ-ÞŠŽĆČĐŁŚŹŻŐŰĞİŞА-ЯЁ]"
+_LOW = r"[a-zà-öø-ÿšžćčđłśźżőűğışа-яёěřůťďňąęńĺ]"
+_PART = rf"(?:(?:O|D|L)['’])?{_UP}{_LOW}+(?:{_UP}{_LOW}+)?(?:[-'’]{_UP}?{_LOW}+)*"
+_SHAPED = re.compile(rf"(?<![\w.@/#'’-]){_PART}(?: {_UP}\.)?(?: (?:van|von|de|der|den|del|della|da|di|la|le|bin|al|ben))*(?: {_PART}){{1,2}}(?![\w@/]|['’-]\w)")
+# Words before a name. Those of the first group say that a name follows, those of the second that a person may.
+_SAYS = re.compile(
+    r"(?i)(?:\b(?:name(?: is|['’]s|:)?|i am|i['’]m|this is|call me|here is|signed(?: by)?[,:]?|(?:(?:kind|best|warm|with) )?regards[,:]?|sincerely[,:]?|yours(?: truly| faithfully)?[,:]?|cheers[,:]?|thanks[,:]|thank you[,:]"
+    r"|contact|call|phone|e-?mail|ask for|speak (?:to|with)|talk to|reach|meet|met|invite|tell|dear|hello|hi|attn[.:]?|attention[:]?|mr|mrs|ms|miss|mx|dr|prof|professor|sir|madam|herrn?|frau|señora?|sra?|don|doña|monsieur|madame|mme|mlle|м-р|г-н|г-жа|господин|госпожа"
+    r"|mein name ist|ich bin|ich heiße|(?:viele |beste |liebe |mit freundlichen )?grüßen?[,]?|gruß[,]?|sehr geehrte[r]?|lieber?|je suis|je m['’]appelle|m['’]appelle|mon nom est|cordialement[,]?|bonjour|soy|me llamo|mi nombre es|atentamente[,]?|saludos[,]?|hola|estimad[oa]"
+    r"|меня зовут|моё имя|мое имя|с уважением[,]?|уважаем(?:ый|ая)|звоните|обращайтесь к|позовите)\.?|^(?:from|to|cc|author|owner|assignee|reporter|applicant|recipient|sender|customer|client|patient|employee|user|name|kontakt|contacto|nombre|nom|имя)\s*:)\s*$"
+)
+_PERSON = re.compile(r"(?i)\b(?:manager|colleague|customer|client|patient|employee|teacher|doctor|engineer|director|officer|admin|administrator|neighbou?r|friend|brother|sister|mother|father|wife|husband|son|daughter|by|with|from|for|kollege|kollegin|kunde|kundin|chef|chefin|collègue|client|cliente|jefe|jefa|colega|коллега|клиент|директор|инженер|врач|друг)\s*,?\s*$")
+# What people do, right after a name.
+_DOES = re.compile(r"(?i)^(?:,? (?:who )?(?:lives|lived|said|says|wrote|writes|phoned|called|approved|asked|asks|signed|replied|answered|confirmed|complained|reported|works|worked|joined|left|moved|told|thinks|wants|wohnt|sagt|sagte|schrieb|arbeitet|bittet|habite|a dit|a écrit|travaille|vive|dijo|escribió|trabaja|pidió|живёт|живет|сказала?|написала?|работает|просит|позвонила?|ответила?)\b)")
+# Words that make up names of things, places and times, not of people.
+_THINGS = frozenset(
+    "yesterday today tomorrow tonight later then also now once again recently finally maybe perhaps only both each every gestern heute morgen dann hier aujourd demain ayer hoy mañana вчера сегодня завтра потом me us which whom whose one mode mr mrs ms miss mx dr prof professor sir madam herr frau señor señora sr sra don doña monsieur madame mme mlle street road avenue lane drive court square place park bridge harbor harbour station airport river lake mount north south east west new old great saint san santa los las city town county state university college school church hospital bank hotel museum library team group department office service services server system network gateway router cluster node database table index cache queue module package project program report incident release version protocol update map line board center centre company corporation inc ltd gmbh support security desk help center monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag lunes martes miércoles jueves viernes sábado domingo the a an this that these those it we you he she they i my our your his her their please hello hi dear thanks thank regards best kind if when where what who why how is are was were do does did can could will would should may might must no yes not and or but for to of in on at by from with all any some mozilla windows linux apple google chrome safari firefox internet english german french spanish russian chinese".split()
+)
+#: Score from which a candidate is a name.
+NAME_FROM = 3.0
+_CUE_WORDS = frozenset(
+    "name am m this call here signed regards sincerely yours cheers thanks thank contact phone mail email ask speak talk reach meet met invite tell dear hello hi attn attention mr mrs ms miss mx dr prof professor sir madam herr herrn frau señor señora sr sra don doña monsieur madame mme mlle bin heiße grüße grüßen gruß geehrte geehrter liebe lieber suis appelle nom cordialement bonjour soy llamo nombre atentamente saludos hola estimado estimada зовут имя уважением уважаемый уважаемая звоните обращайтесь позовите господин госпожа from to cc author owner assignee reporter applicant recipient sender customer client patient employee user kontakt contacto "
+    "lives lived said says wrote writes phoned called approved asked asks replied answered confirmed complained reported works worked joined left moved told thinks wants wohnt sagt sagte schrieb arbeitet bittet habite dit écrit travaille vive dijo escribió trabaja pidió живёт живет сказал сказала написал написала работает просит позвонил позвонила ответил ответила".split()
+)
+
+
+def name_score(text: str, start: int, end: int) -> float:
+    """How much text[start:end], in the shape of a name, stands where names do; from ``NAME_FROM`` on it is one."""
+    parts = [w.lower() for w in _WORDS.findall(text[start:end]) if len(w) > 1]
+    before = text[max(0, start - 40) : start]
+    score = 1.0
+    if _SAYS.search(before):
+        score += 2.0
+    elif _PERSON.search(before):
+        score += 2.0
+    if _DOES.match(text[end : end + 24]):
+        score += 2.0
+    score -= 3.0 * sum(w in _THINGS or w in _STREET_WORDS for w in parts)
+    return score
+
+
 _FULL_WORD = re.compile(r"\b\w+\b(?!\.)")
 _SHIP = re.compile(r"(?i)\b(?:ship|send|deliver|mail|post)\b")
 _NOT_NAME = {"the", "a", "an", "this", "it", "me", "you", "your", "my", "our", "us", "them", "we", "he", "she", "they", "be", "all"}
 
 
+def shaped_names(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates that score as names. A first word that announces a name (a title, a greeting) is left out of it."""
+    for m in _SHAPED.finditer(text):
+        a, b = m.span()
+        words_at = [(x.start(), x.end()) for x in re.finditer(r"[^\s]+", text[a:b])]
+        starts = [a + x for x, _ in words_at]
+        ends = [a + y for _, y in words_at]
+        tries = [(i, j) for n in range(len(starts), 1, -1) for i in range(len(starts) - n + 1) for j in [i + n - 1]]
+        for i, j in tries:
+            # the last word must be a word of a name
+            if len(_WORDS.findall(text[starts[i] : ends[j]])) >= 2 and not text[ends[j] - 1] == "." and name_score(text, starts[i], ends[j]) >= NAME_FROM:
+                yield starts[i], ends[j]
+                break
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of every piece in source positions, in order, without overlap; earlier types of TYPES go first."""
     tape = normalised(text)
@@ -233,12 +301,16 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             if not (_STREET_ONLY.match(m[0]) and _MAP_ITEM.match(s, m.end())):
                 take(*m.span(), "address")
     if some_digits:
+        taken += [m.span() for m in _ACCOUNT.finditer(s)]
         for m in _PHONE.finditer(s):
             digits = sum(c.isdigit() for c in m[0])
-            if digits >= 9 and not _NOT_PHONE.search(s, max(0, m.start() - 24), m.start()):
+            if digits >= 9 and not _NOT_PHONE.search(s, max(0, m.start() - 80), m.start()):
                 take(*m.span(), "phone")
+        for m in _PHONE_LABELLED.finditer(s) if not there.isdisjoint(_PHONE_WORDS) or not s.isascii() else ():
+            if 7 <= sum(c.isdigit() for c in m[1]) <= 15:
+                take(*m.span(1), "phone")
         for m in _ID_PLAIN.finditer(s):
-            if not _NOT_PHONE.search(s, max(0, m.start() - 24), m.start()):
+            if not _NOT_PHONE.search(s, max(0, m.start() - 80), m.start()):
                 take(*m.span(), "id_number")
     for p, any_of in zip(_NAMES, _NAME_WORDS, strict=True):
         if not there.isdisjoint(any_of):
@@ -248,6 +320,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 last, _, first = m[1].partition(", ")
                 if not _NOT_NAME & {w.lower() for w in _FULL_WORD.findall(m[1])} and not (first[:1].islower() and not last[:1].islower()):
                     take(*m.span(1), "name")
+    if not there.isdisjoint(_CUE_WORDS):
+        for a, b in shaped_names(s):
+            take(a, b, "name")
     return sorted(out)
 
 
