@@ -98,14 +98,17 @@ def copy_sets(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFrame
     like any other. An empty table gives no rows. Other columns play no part.
     """
     rows = df.select(F.col(space).alias("space"), F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    members = rows.select("space", "id", _digest(F.col("text")).alias("raw")).dropDuplicates(["space", "id"])
+    # an id that is there several times is one record: how often it came again is taken off its content's count
+    members = rows.groupBy("space", "id").agg(F.min(_digest(F.col("text"))).alias("raw"), F.count("*").alias("times"))
     survivors = rows.groupBy("space", "text").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
     forms = written(survivors.select("space", _digest(F.col("text")).alias("raw"), "first_id", "n_rows", canonical(F.col("text")).alias("form")), "copies")
+    content_of = forms.select("space", "raw", _digest(F.col("form")).alias("content"))
+    again = members.where("times > 1").groupBy("space", "raw").agg(F.sum(F.col("times") - 1).alias("again"))
+    again = again.join(content_of, ["space", "raw"]).groupBy("space", "content").agg(F.sum("again").alias("again"))
     contents = forms.groupBy("space", "form").agg(F.min("first_id").alias("keep_id"), F.sum("n_rows").alias("n_rows"))
-    # a content with one row is its own only member: it needs no join
-    several = contents.where("n_rows > 1").select("space", _digest(F.col("form")).alias("content"), "keep_id")
-    of_raw = forms.select("space", "raw", _digest(F.col("form")).alias("content")).join(several, ["space", "content"]).select("space", "raw", "keep_id")
-    found = members.join(of_raw, ["space", "raw"]).select("space", "keep_id", F.col("id").alias("copy_id"))
-    single = contents.where("n_rows = 1").select("space", "keep_id", F.lit(1).cast("bigint").alias("n_copies"))
-    counts = found.groupBy("space", "keep_id").agg(F.count("*").alias("n_copies")).unionByName(single)
-    return counts, found
+    contents = contents.select("space", _digest(F.col("form")).alias("content"), "keep_id", "n_rows").join(again, ["space", "content"], "left")
+    contents = contents.select("space", "content", "keep_id", (F.col("n_rows") - F.coalesce("again", F.lit(0))).alias("n_copies"))
+    # a content with one record is its own only member: it needs no join
+    of_raw = content_of.join(contents.where("n_copies > 1"), ["space", "content"]).select("space", "raw", "keep_id")
+    found = members.select("space", "id", "raw").join(of_raw, ["space", "raw"]).select("space", "keep_id", F.col("id").alias("copy_id"))
+    return contents.select("space", "keep_id", "n_copies"), found

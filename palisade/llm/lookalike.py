@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -31,7 +31,10 @@ TWINS = {
     "cyrillic": "aа cс dԁ eе hһ iі jј lӏ oо pр qԛ sѕ wԝ xх yу AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ",
     "greek": "oο pρ vν AΑ BΒ EΕ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ ZΖ",
     "armenian": "hհ nո oօ uս",
+    "cherokee": "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ SᏚ TᎢ VᏙ WᎳ ZᏃ",
 }
+# Letters of one script that look the same.
+ALIKE = {"ɡ": "g", "ɑ": "a"}
 SCRIPTS = ("latin", *TWINS)
 #: Cost of another script within a word, against log probabilities.
 SWITCH = 14.0
@@ -76,11 +79,12 @@ def _lattice() -> dict[str, dict[str, str]]:
     for script, row in TWINS.items():
         for latin, twin in row.split():
             looks.setdefault(latin, {"latin": latin})[script] = twin
-    return {c: same for same in looks.values() for c in same.values()}
+    lattice = {c: same for same in looks.values() for c in same.values()}
+    return lattice | {c: lattice.get(plain, {"latin": plain}) for c, plain in ALIKE.items()}
 
 
 LOOKS = _lattice()
-_BLOCKS = (("latin", "A", "ɏ"), ("greek", "Ͱ", "Ͽ"), ("cyrillic", "Ѐ", "ԯ"), ("armenian", "԰", "֏"))
+_BLOCKS = (("latin", "A", "ɏ"), ("greek", "Ͱ", "Ͽ"), ("cyrillic", "Ѐ", "ԯ"), ("armenian", "԰", "֏"), ("cherokee", "Ꭰ", "\u13ff"))
 
 
 def _script(c: str) -> str:
@@ -173,17 +177,18 @@ def reader(model: dict[str, dict[tuple[str, str], float]]) -> Callable[[str], st
     return read
 
 
-def same_looks(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(forms, pairs): forms has space, id and form, one row for each record; pairs has space, first_id and second_id, one row for
-    each two records of a space whose texts differ but look the same.
+def _digest(c: Column) -> Column:
+    return F.unhex(F.sha2(c, 256))
+
+
+def read_looks(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(forms, members): forms has space, raw (a digest of the text) and form, one row for each distinct text; members has space, id and raw, one row for each record.
 
     Rows with one (space, key) are one record; null texts or keys are none. An empty text is its own form. Byte-identical
-    texts are read once; pairs are formed between differing writings and only then carried to the records that hold
-    them, so records that agree byte for byte never meet.
+    texts are read once.
     """
     rows = df.select(F.col(space).alias("space"), F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    digest = lambda c: F.unhex(F.sha2(c, 256))
-    members = rows.select("space", "id", digest("text").alias("raw")).dropDuplicates(["space", "id"])
+    members = rows.select("space", "id", _digest(F.col("text")).alias("raw")).dropDuplicates(["space", "id"])
     texts = written(rows.select("space", "text").distinct(), "writings")
     model = fit(texts)
 
@@ -193,10 +198,47 @@ def same_looks(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFram
         for s in batches:
             yield s.map(one)
 
-    forms = written(texts.select("space", digest("text").alias("raw"), read("text").alias("form")), "forms")
-    several = forms.groupBy("space", "form").agg(F.count("*").alias("n")).where("n > 1").select("space", digest("form").alias("look"))
-    varied = forms.select("space", "raw", digest("form").alias("look")).join(several, ["space", "look"])
+    forms = written(texts.select("space", _digest(F.col("text")).alias("raw"), read("text").alias("form")), "forms")
+    return forms, members
+
+
+def record_forms(forms: DataFrame, members: DataFrame) -> DataFrame:
+    """space, id, form of every record."""
+    return members.join(forms, ["space", "raw"]).select("space", "id", "form")
+
+
+def _varied(forms: DataFrame) -> DataFrame:
+    """space, raw and look (a digest of the form) of the texts that read like another."""
+    several = forms.groupBy("space", "form").agg(F.count("*").alias("n")).where("n > 1").select("space", _digest(F.col("form")).alias("look"))
+    return forms.select("space", "raw", _digest(F.col("form")).alias("look")).join(several, ["space", "look"])
+
+
+def look_classes(forms: DataFrame, members: DataFrame) -> DataFrame:
+    """space, id, class_id and n_links of every record that reads like a differently written one.
+
+    class_id: the smallest id of those that read the same; n_links: how many records of the class are written otherwise.
+    Copies aren't expanded into pairs: a class of n records has n rows.
+    """
+    per_raw = members.groupBy("space", "raw").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    looks = _varied(forms).join(per_raw, ["space", "raw"])
+    whole = looks.groupBy("space", "look").agg(F.sum("n").alias("all"), F.min("first").alias("class_id"))
+    of_raw = looks.join(whole, ["space", "look"]).select("space", "raw", "class_id", (F.col("all") - F.col("n")).alias("n_links"))
+    return members.join(of_raw, ["space", "raw"]).select("space", "id", "class_id", "n_links")
+
+
+def look_pairs(forms: DataFrame, members: DataFrame) -> DataFrame:
+    """space, first_id and second_id: the classes expanded into every two records of a space whose texts differ but look the same.
+
+    Pairs are formed between differing writings and only then carried to the records that hold them, so records that
+    agree byte for byte never meet.
+    """
+    varied = _varied(forms)
     two = varied.alias("a").join(varied.alias("b"), ["space", "look"]).where("a.raw < b.raw").select("space", F.col("a.raw").alias("raw"), F.col("b.raw").alias("other"))
     first = two.join(members, ["space", "raw"]).select("space", F.col("other").alias("raw"), F.col("id").alias("one"))
-    pairs = first.join(members, ["space", "raw"]).select("space", F.least("one", "id").alias("first_id"), F.greatest("one", "id").alias("second_id"))
-    return members.join(forms, ["space", "raw"]).select("space", "id", "form"), pairs
+    return first.join(members, ["space", "raw"]).select("space", F.least("one", "id").alias("first_id"), F.greatest("one", "id").alias("second_id"))
+
+
+def same_looks(df: DataFrame, space: str, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(forms, pairs): the form of every record, and ``look_pairs``."""
+    forms, members = read_looks(df, space, key, text)
+    return record_forms(forms, members), look_pairs(forms, members)

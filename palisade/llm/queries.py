@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.copies import copy_sets
-from palisade.llm.lookalike import same_looks
+from palisade.llm.lookalike import look_classes, look_pairs, read_looks, record_forms
 from palisade.llm.mixing import mixture, shares
 from palisade.llm.packing import packed, unused
 from palisade.llm.pii import personal_data, redacted
@@ -52,14 +52,17 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of request bodies and of training texts that differ but look the same."""
-    _, pairs = same_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")
-    return pairs.withColumnRenamed("space", "record_table")
+    return look_pairs(*read_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")).withColumnRenamed("space", "record_table")
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Class and number of links of every request body and training text that looks like a differently written one."""
+    return look_classes(*read_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")).withColumnRenamed("space", "record_table")
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every request body and training text."""
-    forms, _ = same_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")
-    return forms.withColumnRenamed("space", "record_table")
+    return record_forms(*read_looks(_bodies_and_samples(spark, d), "record_table", "id", "text")).withColumnRenamed("space", "record_table")
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +96,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_contents, p3_found, p3_redacted, p4_found, p4_forms, p6_packed, p6_unused, p7_mixture, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_contents, p3_found, p3_redacted, p4_found, p4_forms, p4_classes, p6_packed, p6_unused, p7_mixture, p7_shares, p8_found)}
 #: JSON, tokenizers, scripts and numeric fitting are beyond SQL: these are tested against brute force instead.
 ORACLE: dict[str, str] = {}

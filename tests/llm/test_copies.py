@@ -40,3 +40,10 @@ def test_one_hot_group_and_empty_table(spark):
     counts, members = sets(spark, rows)
     assert counts == {("t", 0): 300} and len(members) == 300
     assert sets(spark, []) == ({}, set())
+
+
+def test_counts_are_sums_of_records_also_where_ids_come_again(spark):
+    rows = [("t", 1, "Same Words"), ("t", 1, "Same Words"), ("t", 2, "same words"), ("t", 3, "SAME words"), ("t", 3, "SAME words"), ("t", 4, "other"), ("t", 4, "other")]
+    counts, members = sets(spark, rows)
+    assert counts == {("t", 1): 3, ("t", 4): 1}
+    assert members == {("t", 1, 1), ("t", 1, 2), ("t", 1, 3)}

@@ -1,4 +1,4 @@
-from palisade.llm.lookalike import SCRIPTS, UNSEEN, plain, reader, same_looks
+from palisade.llm.lookalike import SCRIPTS, UNSEEN, look_classes, plain, read_looks, reader, same_looks
 
 
 def test_plain():
@@ -30,3 +30,9 @@ def test_pairs(spark):
 def test_empty(spark):
     forms, pairs = same_looks(spark.createDataFrame([], "space string, id bigint, text string"), "space", "id", "text")
     assert forms.count() == pairs.count() == 0
+
+
+def test_classes_count_links_between_different_writings(spark):
+    rows = [("t", 1, "stop the limit"), ("t", 2, "stоp thе limit"), ("t", 3, "stop the limit"), ("t", 4, "else"), ("t", 5, "Ꭺpple ɡo"), ("t", 6, "Apple go")]
+    got = {(r.id, r.class_id, r.n_links) for r in look_classes(*read_looks(spark.createDataFrame(rows, "space string, id bigint, text string"), "space", "id", "text")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1), (5, 5, 1), (6, 5, 1)}
