@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from palisade.session import spread
 
-#: Placeholders: a mark that ends nothing, one within a quote, one within brackets; a boundary between sentences.
-MASK, QUOTED, BRACKETED, CUT = "", "", "", ""
-_ENDS = ".!?…。！？｡؟।॥۔։።"
+#: Placeholders: a mark that ends nothing, one within a quote, one within brackets; a boundary between sentences; a blank within a quote or brackets.
+MASK, QUOTED, BRACKETED, CUT, HELD = "\ue000", "\ue002", "\ue003", "\ue001", "\ue004"
+_ENDS = ".!?…。！？｡؟।॥۔։።။៕។༎།"
 _WS = "[\\p{IsWhite_Space}\\x1c-\\x1f]"
 #: Opening and closing marks of quotes; straight ones are told apart by what is beside them.
 _QUOTES = (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ("„", "“"), ("‘", "’"))
@@ -64,20 +64,20 @@ def _where(c: Column, mark: str, step: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), lambda x: F.when(x.contains(mark), step(x)).otherwise(x)), 1)
 
 
-def _inside(c: Column, start: str, stop: str, marks: str, to: str, opener: str | None = None, closer: str | None = None) -> Column:
-    """Marks between start and the next stop become ``to``: where stop follows in the same paragraph however far, or within 600
-    characters in a later one; \\G carries on from one mark to the next. closer: what of stop closes in the former case."""
+def _inside(c: Column, start: str, stop: str, marks: str, to: str, opener: str | None = None, closer: str | None = None, within: str = "") -> Column:
+    """Marks between start and the next stop of the same paragraph, however far, become ``to``; \\G carries on from one mark to the next.
+
+    closer: what of stop closes; within: what of stop doesn't, and may stand between.
+    """
     between = start + stop if start != stop else stop
-    first = opener or f"[{start}]"
-    body = f"[^{between}{marks}{CUT}]*"
-    c = F.regexp_replace(c, f"((?:{first}(?=[^{between}{CUT}]*+{closer or f'[{stop}]'})|(?!^)\\G){body})[{marks}]", f"$1{to}")
-    return F.regexp_replace(c, f"((?:{first}|(?!^)\\G){body})[{marks}](?=[^{between}]{{0,600}}[{stop}])", f"$1{to}")
+    some = lambda but, greed: f"(?:[^{between}{but}{CUT}]{'|' + within if within else ''})*{greed}" if within else f"[^{between}{but}{CUT}]*{greed}"
+    return F.regexp_replace(c, f"((?:{opener or f'[{start}]'}(?={some('', '+')}{closer or f'[{stop}]'})|(?!^)\\G){some(marks, '')})[{marks}]", f"$1{to}")
 
 
 def marked(text: Column) -> Column:
     """text with placeholders and a CUT after every sentence."""
     sub = F.regexp_replace
-    m = F.translate(text, f"{MASK}{CUT}{QUOTED}{BRACKETED}", "xxxx")
+    m = F.translate(text, f"{MASK}{CUT}{QUOTED}{BRACKETED}{HELD}", "xxxxx")
     # headings and list items: one sentence whatever is in them, its mark included
     m = sub(m, "(?m)^([ \\t]*\\(?\\d{1,3})\\.(?=[ \\t]+\\S)", f"$1{MASK}")
     line = f"(?m)^[ \\t]*(?:#{{1,6}}|[-*•‣▪◦·–—]|\\(?(?:\\d{{1,3}}[){MASK}]|\\p{{L}}\\)))[ \\t]+(?=\\S)"
@@ -106,21 +106,23 @@ def marked(text: Column) -> Column:
     for a, b in _QUOTES:
         m = _where(m, a, lambda x, a=a, b=b: _inside(x, a, b, _ENDS, QUOTED))
     m = _where(m, '"', lambda x: _inside(x, '"', '"', _ENDS, QUOTED, '(?<=^|[\\s(\\[{])"(?=\\S)'))
-    m = _where(m, "'", lambda x: _inside(x, "'", "'", _ENDS, QUOTED, "(?<=^|[\\s(\\[{])'(?=\\S)", "'(?!\\p{L})"))
+    m = _where(m, "'", lambda x: _inside(x, "'", "'", _ENDS, QUOTED, "(?<=^|[\\s(\\[{])'(?=\\S)", "'(?!\\p{L})", "(?<=\\p{L})'(?=\\p{L})"))
     for a, b in _BRACKETS:
         m = _where(m, a, lambda x, a=a, b=b: _inside(x, f"\\{a}", f"\\{b}", _ENDS + QUOTED, BRACKETED))
     # boundaries
     closers = "[\"'”’»」』）)\\]]"
     m = sub(m, f"([。！？｡።]+{closers}*)", f"$1{CUT}")
-    m = sub(m, f"([।॥؟]+[!?]*)(?!{closers})", f"$1{CUT}")
+    m = sub(m, f"([।॥؟။៕។།༎]+[!?]*)(?!{closers})", f"$1{CUT}")
     m = sub(m, f"([.!?…۔։]+{closers}*)(?=\\s|$)", f"$1{CUT}")
     m = sub(m, "(?<=[\\p{L}\\p{M}\\d)])([!?]+)(?=[\\p{Lu}¿¡])", f"$1{CUT}")
     m = sub(m, "(?<=\\p{Ll}{2})\\.(?=\\p{Lu}\\p{Ll})", f".{CUT}")
     m = sub(m, f"([:：]\\s{{0,3}}[“«「『„\"'‘]\\s?[^“”«»「」『』\"\\n{CUT}]*{QUOTED}\\s?[”»」』“\"'’])(?=\\s|$|[^\\p{{P}}\\p{{ASCII}}]|[“「『（《«])", f"$1{CUT}")
     m = sub(m, f"({QUOTED}\\s?[”»」』“\"'’])(?=\\s+[\\p{{Lu}}¿¡])", f"$1{CUT}")
     m = sub(m, f"((?:^|{CUT}|(?!^)\\G)\\s*[(（\\[][^()（）\\[\\]{CUT}]*{BRACKETED}[)）\\]])", f"$1{CUT}")
-    # Thai: a blank or line break between two Thai words outside quotes
-    m = sub(m, "(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e])(?=\\s+[\\u0e01-\\u0e5b])(?![^“”]{0,600}”)(?![^()\\n]{0,200}\\))", CUT)
+    # scripts without a mark at the end of every sentence: Thai, between two words outside quotes and brackets
+    held = lambda x: F.regexp_replace(F.regexp_replace(x, f"((?:“(?=[^“”{CUT}]*+”)|(?!^)\\G)[^“”\\s{CUT}]*)\\s", f"$1{HELD}"), f"((?:\\((?=[^()\\n{CUT}]*+\\))|(?!^)\\G)[^()\\s{CUT}]*)[^\\S\\n]", f"$1{HELD}")
+    blank = lambda x: F.regexp_replace(held(x), "(?<=[\\u0e01-\\u0e45\\u0e47-\\u0e4e])(?=\\s+[\\u0e01-\\u0e5b])", CUT)
+    m = F.element_at(F.transform(F.array(m), lambda x: F.when(x.rlike("[\\u0e01-\\u0e5b]"), blank(x)).otherwise(x)), 1)
     return m
 
 
@@ -133,9 +135,8 @@ def sentences(df: DataFrame, key: str, text: str, keep_text: bool = False) -> Da
 
     Positions are 0-based in code points, the end exclusive. Together the sentences hold all of a document but white
     space: empty, blank and null documents have none. A very long document without any boundary is one sentence. A
-    key that occurs twice gives its sentences twice. Other columns play no part, whatever their names. Two limits: Thai
-    blanks stay within a quote for 600 characters before its end (brackets: 200), and a text of more than 600 in straight
-    single quotes divides if it has an apostrophe.
+    key that occurs twice gives its sentences twice. Other columns play no part, whatever their names. A quote or bracket, of
+    whatever length, that isn't closed within its paragraph (up to a blank line, heading or list item) holds nothing together.
     """
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     pieces = spread(rows).select("doc_id", "text", F.split(marked(F.col("text")), CUT, -1).alias("p"))

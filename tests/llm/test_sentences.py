@@ -58,3 +58,23 @@ def test_long_quote_after_a_colon(spark):
     said = "He said: “" + "One is here. " * 80 + "Two.”"
     got = sentences(spark.createDataFrame([(1, said + " Then he left.")], "doc_id bigint, text string"), "doc_id", "text", keep_text=True).orderBy("start_pos").collect()
     assert [r.sentence for r in got] == [said, "Then he left."]
+
+
+def cut(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    return [r.sentence for r in sentences(df, "doc_id", "text", True).orderBy("start_pos").collect()]
+
+
+def test_quotes_and_brackets_of_any_length(spark):
+    long = "Stop here. Go on! " * 300
+    for a, b in (("“", "”"), ('"', '"'), ("(", ")"), ("'", "'")):
+        got = cut(spark, f"He said {a}{long.strip()}{b} and left. Then came more.")
+        assert len(got) == 2 and got[1] == "Then came more.", (a, len(got))
+    assert len(cut(spark, "He said 'I don't know. You can't tell. " + "We won't ask. " * 90 + "Never' and left. Done.")) == 2
+    thai = "เขาพูดว่า “" + "ไปที่นี่ แล้วกลับ " * 90 + "จบ” แล้วไป"
+    assert len(cut(spark, thai)) == 1 or cut(spark, thai)[0].count("”") == 1
+
+
+def test_scripts_with_marks_of_their_own(spark):
+    for text, n in (("မင်္ဂလာပါ။ နေကောင်းလား။", 2), ("សួស្តី។ អ្នកសុខសប្បាយទេ។", 2), ("བཀྲ་ཤིས། བདེ་ལེགས།", 2)):
+        assert len(cut(spark, text)) == n, text
