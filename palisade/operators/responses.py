@@ -47,8 +47,13 @@ def middleware(action: Column, level: Column, challenge_id: Column, kind: Column
 
 def thousandths(score: Column) -> Column:
     """A score of 0 to 1 with three decimals, rounded from its exact binary value, as other languages print it."""
-    exact = (score * F.lit(float(1 << 60))).cast("bigint").cast("decimal(38,0)")
-    scaled, whole = (exact * 1000 + F.lit(1 << 59)).cast("decimal(38,0)"), F.lit(1 << 60).cast("decimal(38,0)")
+    unit = float(1 << 52)
+    high = F.floor(score * unit)
+    low = ((score * unit - high) * unit).cast("bigint")
+    big = lambda x: x.cast("decimal(38,0)")
+    exact = big(big(high) * F.lit(1 << 52)) + big(low)
+    whole = big(F.lit(str(1 << 104)))
+    scaled = big(big(exact * 1000) + big(F.lit(str(1 << 103))))
     t = ((scaled - scaled % whole) / whole).cast("bigint")
     return F.format_string("%d.%03d", F.floor(t / 1000), t % 1000)
 

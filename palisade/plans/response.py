@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from palisade.functions import patterns as P
 from palisade.operators import risk as K
+from palisade.operators.windows import by_rows, by_size, heavy_keys, rows_at_most, running
 from palisade.plans.common import E_, L, R, logs, requests
 from palisade.plans.detectors import _N, AGENT, LEVEL, neural_score
 from palisade.plans.layers import EDGE_SQL, behavior_score, behavior_sql, edge_score
@@ -118,9 +119,9 @@ def ban_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def recently_blocked(spark: SparkSession, d: str) -> DataFrame:
     """Whether any of the last five actions of the address before a log record was a block."""
-    a = logs(spark, d).where("ip IS NOT NULL AND action IS NOT NULL").withColumn("us", F.unix_micros(F.to_timestamp("log_ts")))
-    w = W.partitionBy("ip").orderBy("us", "log_id").rowsBetween(-5, -1)
-    return a.select("log_id", F.coalesce(F.max(F.col("action") == "block").over(w), F.lit(False)).alias("recently_blocked"))
+    a = logs(spark, d).where("ip IS NOT NULL AND action IS NOT NULL").select("log_id", "ip", "action", F.unix_micros(F.to_timestamp("log_ts")).alias("us"))
+    last = {"recently_blocked": lambda w: F.coalesce(F.max(F.col("action") == "block").over(w.rowsBetween(-5, -1)), F.lit(False))}
+    return by_size(a, "ip", heavy_keys(a, ["ip"], rows_at_most(a)), lambda x, cut: by_rows(x, ["ip"], "us", "log_id", 5, last, cut=cut)).select("log_id", "recently_blocked")
 
 
 def escalation_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -209,8 +210,8 @@ def training_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def training_cap(spark: SparkSession, d: str, most: int = 50_000) -> DataFrame:
     """The first ``most`` samples of each label in the order of the log."""
-    n = F.row_number().over(W.partitionBy("label").orderBy("log_id"))
-    return _labelled(spark, d).select("log_id", "label", n.alias("n")).where(F.col("n") <= most).groupBy("label").agg(F.count("*").alias("n"), F.max("log_id").alias("last_id"))
+    numbered = running(_labelled(spark, d).select("log_id", "label"), ["label"], "log_id", "log_id", {"n": F.lit(1)}, bucket_us=100_000)
+    return numbered.where(F.col("n") < most).groupBy("label").agg(F.count("*").alias("n"), F.max("log_id").alias("last_id"))
 
 
 def flag_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -227,8 +228,11 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
 def train_split(spark: SparkSession, d: str) -> DataFrame:
     """Stratified split, 90 to 10, by the order of a hash within each label."""
     t = table(spark, d, "train").where("label IS NOT NULL").select("sample_id", "label", F.md5(F.concat(F.lit("42-"), F.col("sample_id").cast("string"))).alias("h"))
-    rank = F.percent_rank().over(W.partitionBy("label").orderBy("h", "sample_id"))
-    return t.select("sample_id", "label", (rank >= 0.9).alias("is_test"))
+    t = t.withColumn("_p", F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"))
+    ranked = running(t, ["label"], "_p", "h", {"_before": F.lit(1)}, bucket_us=1 << 20)
+    sizes = t.groupBy("label").agg(F.count("*").alias("_n"))
+    share = F.when(F.col("_n") > 1, F.col("_before") / (F.col("_n") - 1)).otherwise(0.0)
+    return ranked.join(sizes, "label").select("sample_id", "label", (share >= 0.9).alias("is_test"))
 
 
 def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,6 @@ from palisade.operators import challenges as G
 from palisade.operators import edge as E
 from palisade.operators import responses as S
 from palisade.operators import risk as K
-from palisade.operators.windows import by_rows, by_size, heavy_keys, rows_at_most
 from palisade.plans.common import E_, L, R, logs, requests
 from palisade.plans.detectors import AGENT, SESSION, SHAPE
 from palisade.plans.layers import TRAP
@@ -264,14 +263,6 @@ def training_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.select("log_id", (1 - F.col("label")).alias("part"), F.to_json(F.struct("text", "label")).alias("line"))
 
 
-def recent_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """recently_blocked with addresses of any size: the rows of a heavy one are cut into chunks."""
-    a = _acted(spark, d).withColumnRenamed("ip", "client_ip")
-    heavy = heavy_keys(a, ["client_ip"], rows_at_most(a))
-    last = {"blocked": lambda w: F.coalesce(F.max(F.col("action") == "block").over(w.rowsBetween(-5, -1)), F.lit(False))}
-    return by_size(a, "client_ip", heavy, lambda x, cut: by_rows(x, ["client_ip"], "us", "log_id", 5, last, cut=cut)).select("log_id", "blocked")
-
-
 def live_filters(spark: SparkSession, d: str) -> DataFrame:
     """Rows that clean-ups by age leave at the latest event: agents (an hour), sessions (a day), trap hits (a day), bans."""
     r = requests(spark, d, "ts_us", "client_ip", "auth_header", "agent_id", "cookie", "x_session_id", "path").join(_now(spark, d))
@@ -282,7 +273,7 @@ def live_filters(spark: SparkSession, d: str) -> DataFrame:
     return out.join(F.broadcast(bans_active(spark, d).agg(F.count("*").alias("bans"))))
 
 
-_FUNCTIONS = (api_response, middleware_result, enforcement_result, error_mapping, api_envelope, challenges, challenge_verify, challenge_pending, action_history, bans_unbanned, ban_counts_restarted, ban_terms, ban_totals, agent_bans, filter_sets, threat_lists, custom_traps, request_adapter, rate_peek, tracked_keys, signature_cap, feature_stats, latency_cumulative, metrics_json, service_stats, health, escalation_totals, escalation_log, retrain_gate, training_lines, recent_blocks, live_filters)
+_FUNCTIONS = (api_response, middleware_result, enforcement_result, error_mapping, api_envelope, challenges, challenge_verify, challenge_pending, action_history, bans_unbanned, ban_counts_restarted, ban_terms, ban_totals, agent_bans, filter_sets, threat_lists, custom_traps, request_adapter, rate_peek, tracked_keys, signature_cap, feature_stats, latency_cumulative, metrics_json, service_stats, health, escalation_totals, escalation_log, retrain_gate, training_lines, live_filters)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _HASH = lambda part: f"sha256('{part}-' || escalation_id::VARCHAR)"
@@ -346,6 +337,5 @@ ORACLE = {
     "escalation_log": f"""WITH {E_} SELECT escalation_id, '{{"timestamp":"' || strftime(ts AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || '","level":"' || CASE level WHEN 'CRITICAL' THEN 'ERROR' ELSE 'WARN' END || '","fields":{{"message":"' || CASE level WHEN 'CRITICAL' THEN 'SECURITY ESCALATION' ELSE 'Security escalation' END || '","level":"' || level || '","ip":"' || client_ip || '","flags":"[' || array_to_string(coalesce(flags, []), ', ') || ']"}}}}' AS line FROM e""",
     "retrain_gate": f"WITH {_LAB} SELECT count(*) AS n, count(*) >= 50 AS retrain FROM lb WHERE label IS NOT NULL",
     "training_lines": f"""WITH {_LAB} SELECT log_id, 1 - label AS part, '{{"text":' || to_json(text)::VARCHAR || ',"label":' || label || '}}' AS line FROM lb WHERE label IS NOT NULL""",
-    "recent_blocks": f"WITH {_ACT} SELECT log_id, coalesce(max(action = 'block') OVER (PARTITION BY ip ORDER BY us, log_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS blocked FROM ac",
     "live_filters": f"WITH {R}, {_LIVE}, x AS (SELECT ts_us // 1000000 AS t, {NOW_SQL} AS now, {AGENT} AS a, {SESSION} AS s, {TRAP} AS trap FROM r) SELECT count(*) FILTER (t > now - 3600 AND a IS NOT NULL) AS profile_rows, count(*) FILTER (t > now - 86400 AND s IS NOT NULL) AS session_rows, count(*) FILTER (t > now - 86400 AND trap) AS trap_rows, (SELECT count(*) FROM lv) AS bans FROM x",
 }
