@@ -22,7 +22,7 @@ from palisade.session import written
 HOUR_US = 3_600_000_000
 CHUNK = 100_000
 #: Rows of one key that one task may sort.
-HEAVY = 5_000_000
+HEAVY = 500_000
 #: Rows of a slice of the whole table.
 SLICE = 1_000_000
 #: Time slots a slice is put together of, at most; their counts reach the driver.
@@ -55,8 +55,13 @@ def by_size(df: DataFrame, key: str, heavy: dict[str, list[str]], step: Callable
     if not some:
         return step(df, False)
     whole = written(df, "split")
-    is_heavy = F.coalesce(F.col(key), F.lit(_NULL)).isin(some)
-    return step(whole.where(~is_heavy), False).unionByName(step(whole.where(is_heavy), True))
+    named = F.coalesce(F.col(key), F.lit(_NULL))
+    if len(some) <= 1000:
+        light, large = whole.where(~named.isin(some)), whole.where(named.isin(some))
+    else:  # a longer list is a table, still bounded
+        listed = F.broadcast(df.sparkSession.createDataFrame([(x,) for x in some], "_heavy_key string"))
+        light, large = (whole.join(listed, named == F.col("_heavy_key"), how) for how in ("left_anti", "left_semi"))
+    return step(light, False).unionByName(step(large, True))
 
 
 def running(df: DataFrame, keys: list[str], ts: str, tie: str, sums: dict[str, Column], bucket_us: int = HOUR_US, cut: bool = True, of: Callable[[Column], Column] = F.sum) -> DataFrame:
